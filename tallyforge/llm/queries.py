@@ -5,12 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import capping, frequency, mixing, names, tokens
+from tallyforge.llm import capping, frequency, mixing, names, tokens, truncation
 from tallyforge.session import written
 from tallyforge.sources.tables import table
 
 CAP = 10
 COMMON = 0.02
+CUT = 0.5
+
+
+def _cuts(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.scores(table(spark, folder, "comments"), "comment_id", "body", "source_surface")
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """comment_id of every comment whose body was cut off."""
+    return _cuts(spark, folder).filter(F.col("score") >= CUT).select("comment_id").distinct()
+
+
+def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Deliveries, cut ones and their share for every source surface."""
+    cut = F.count(F.when(F.col("score") >= CUT, 1))
+    return _cuts(spark, folder).groupBy("source_surface").agg(F.count("*").alias("n_rows"), cut.alias("n_cut"), (cut / F.count("*")).alias("share_cut"))
 
 
 def _contributions(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,7 +92,7 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(p9_mixture(spark, folder), table(spark, folder, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p5_found, p5_terms, p5_ngrams, p8_ids, p9_mixture, p9_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p4_found, p5_found, p5_terms, p5_ngrams, p8_ids, p9_mixture, p9_shares)}
 
 _P4 = """
 WITH who AS (
