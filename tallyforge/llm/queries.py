@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import capping, frequency, mixing, names, tokens, truncation
+from tallyforge.llm import capping, frequency, mixing, names, pii, tokens, truncation
 from tallyforge.session import written
 from tallyforge.sources.tables import table
 
@@ -29,6 +29,22 @@ def p2_rates(spark: SparkSession, folder: str) -> DataFrame:
     return _cuts(spark, folder).groupBy("source_surface").agg(F.count("*").alias("n_rows"), cut.alias("n_cut"), (cut / F.count("*")).alias("share_cut"))
 
 
+def _bodies(spark: SparkSession, folder: str) -> DataFrame:
+    posts = table(spark, folder, "posts").select(F.lit("post").alias("record_kind"), F.col("post_id").alias("record_id"), F.col("subreddit").alias("group"), "body")
+    comments = table(spark, folder, "comments").select(F.lit("comment").alias("record_kind"), F.col("comment_id").alias("record_id"), F.col("source_surface").alias("group"), "body")
+    return posts.unionByName(comments)
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """record_kind, record_id, pii_type of every kind of personal data in a body."""
+    return pii.found(_bodies(spark, folder), ["record_kind", "record_id"], "body").distinct()
+
+
+def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """Every body with typed placeholders for its personal data."""
+    return pii.redacted(_bodies(spark, folder), ["record_kind", "record_id"], "body")
+
+
 def _contributions(spark: SparkSession, folder: str) -> DataFrame:
     posts = table(spark, folder, "posts").select(
         F.lit("post").alias("record_kind"), F.col("post_id").alias("record_id"), names.contributor(F.col("author")).alias("contributor"), F.col("score").cast("long").alias("by1"), F.col("comment_count").cast("long").alias("by2"), F.lit(None).cast("long").alias("by3")
@@ -92,7 +108,7 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(p9_mixture(spark, folder), table(spark, folder, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p4_found, p5_found, p5_terms, p5_ngrams, p8_ids, p9_mixture, p9_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p3_found, p3_redacted, p4_found, p5_found, p5_terms, p5_ngrams, p8_ids, p9_mixture, p9_shares)}
 
 _P4 = """
 WITH who AS (
