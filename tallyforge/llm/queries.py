@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import capping, frequency, mixing, names, pii, tokens, truncation
+from tallyforge.llm import abuse, capping, frequency, mixing, names, pii, tokens, truncation
 from tallyforge.session import written
 from tallyforge.sources.tables import table
 
 CAP = 10
 COMMON = 0.02
 CUT = 0.5
+ABUSIVE = 0.5
 
 
 def _cuts(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,6 +46,28 @@ def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return pii.redacted(_bodies(spark, folder), ["record_kind", "record_id"], "body")
 
 
+def _abuse(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.scores(_bodies(spark, folder), ["record_kind", "record_id", "group"], "body")
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """record_kind, record_id of every record whose body is abusive, hateful or sexually explicit."""
+    return _abuse(spark, folder).filter(F.col("score") >= ABUSIVE).select("record_kind", "record_id").distinct()
+
+
+def p7_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The score of every body."""
+    return _abuse(spark, folder).select("record_kind", "record_id", "score")
+
+
+def p7_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Records, abusive ones and their share for every subreddit (posts) and source surface (comments)."""
+    rows = _abuse(spark, folder)
+    group = F.when(F.col("record_kind") == "post", F.regexp_replace(names.trimmed(F.lower("group")), "^/?r/", "")).otherwise(F.col("group"))
+    hit = F.count(F.when(F.col("score") >= ABUSIVE, 1))
+    return rows.groupBy("record_kind", group.alias("source")).agg(F.count("*").alias("n_records"), hit.alias("n_abusive"), (hit / F.count("*")).alias("share_abusive"))
+
+
 def _contributions(spark: SparkSession, folder: str) -> DataFrame:
     posts = table(spark, folder, "posts").select(
         F.lit("post").alias("record_kind"), F.col("post_id").alias("record_id"), names.contributor(F.col("author")).alias("contributor"), F.col("score").cast("long").alias("by1"), F.col("comment_count").cast("long").alias("by2"), F.lit(None).cast("long").alias("by3")
@@ -108,7 +131,7 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(p9_mixture(spark, folder), table(spark, folder, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p3_found, p3_redacted, p4_found, p5_found, p5_terms, p5_ngrams, p8_ids, p9_mixture, p9_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p3_found, p3_redacted, p7_found, p7_scores, p7_rates, p4_found, p5_found, p5_terms, p5_ngrams, p8_ids, p9_mixture, p9_shares)}
 
 _P4 = """
 WITH who AS (
