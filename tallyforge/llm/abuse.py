@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import abuse_samples
+from tallyforge.llm.sampling import bounded
 
 ROWS, DIM, FILTERS, WIDTHS = 1 << 15, 24, 24, (1, 2, 3, 4)
 SAMPLE, CLEAN_BELOW = 6000, 0.8
@@ -275,7 +276,7 @@ def scores(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """keys, score (0.5: the threshold) of every row."""
     spark = df.sparkSession
     rows = df.select(text, *keys)
-    some = rows.filter(F.length(F.trim(text)) > 0).select(text, F.xxhash64(text).alias("h")).orderBy("h", text).limit(SAMPLE).collect()
+    some = bounded(rows.filter(F.length(F.trim(text)) > 0).select(text), [text], SAMPLE)
     model = spark.sparkContext.broadcast(fitted([r[0] for r in some]))  # of fixed size
     kinds = ", ".join(f"`{k}` {t}" for k, t in df.select(*keys).dtypes)
     made: dict[int, Scorer] = {}

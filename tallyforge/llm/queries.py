@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import abuse, capping, frequency, mixing, names, pii, tokens, truncation
+from tallyforge.llm import abuse, capping, frequency, mixing, names, pii, subjects, tokens, truncation
 from tallyforge.session import written
 from tallyforge.sources.tables import table
 
@@ -131,7 +131,26 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.shares(p9_mixture(spark, folder), table(spark, folder, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p3_found, p3_redacted, p7_found, p7_scores, p7_rates, p4_found, p5_found, p5_terms, p5_ngrams, p8_ids, p9_mixture, p9_shares)}
+def _subjects(spark: SparkSession, folder: str) -> DataFrame:
+    labelled = [(r.subject, r.text) for r in table(spark, folder, "subject_samples").select("subject", "text").collect() if r.subject and r.text]  # a fixed table
+    known = {s for s, _ in labelled}
+    lists = table(spark, folder, "communities").select("category", "include_terms").collect()  # a fixed table
+    terms = [(r.category, t) for r in lists if r.category in known for t in r.include_terms or [] if t]
+    return subjects.assigned(table(spark, folder, "documents"), "doc_id", "text", labelled, terms)
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, subject of every subject a substantial part of a document is about."""
+    return _subjects(spark, folder).select("doc_id", "subject").distinct()
+
+
+def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of every subject and their share of all documents."""
+    n = table(spark, folder, "documents").count()
+    return p10_found(spark, folder).groupBy("subject").agg(F.count("*").alias("n_documents"), (F.count("*") / F.lit(n)).alias("share"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p3_found, p3_redacted, p7_found, p7_scores, p7_rates, p4_found, p5_found, p5_terms, p5_ngrams, p8_ids, p9_mixture, p9_shares, p10_found, p10_shares)}
 
 _P4 = """
 WITH who AS (
