@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import abuse, capping, frequency, mixing, names, pii, subjects, tokens, truncation
+from tallyforge.llm import abuse, capping, frequency, history, mixing, names, pii, subjects, tokens, truncation
 from tallyforge.session import written
 from tallyforge.sources.tables import table
 
@@ -15,6 +15,27 @@ CUT = 0.5
 ABUSIVE = 0.5
 
 
+def _checked(spark: SparkSession, folder: str) -> DataFrame:
+    posts, new = table(spark, folder, "posts"), table(spark, folder, "post_batches")
+    common = history.common_words(posts.select("title").unionByName(new.select("title")), "title")
+    store = history.Store(spark)
+    store.append(history.prints(posts, F.lit(0), F.lit(0), names.post_id(F.col("post_id")), "title", common))
+    batch = written(history.prints(new, F.col("batch_no"), F.col("row_id"), names.post_id(F.col("post_id")), "title", common), "batch")
+    checked = store.check(batch, common)
+    store.append(checked.filter(~F.col("repeats")))  # the next batch is held against these too
+    return checked
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """row_id, post_id of every batch row that repeats an accepted post, with the accepted post's id."""
+    return _checked(spark, folder).filter("repeats").select(F.col("r").alias("row_id"), F.col("match").alias("post_id"))
+
+
+def p1_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows, repeats and accepted rows of every batch."""
+    return _checked(spark, folder).groupBy(F.col("b").alias("batch_no")).agg(F.count("*").alias("n_rows"), F.count(F.when(F.col("repeats"), 1)).alias("n_repeats"), F.count(F.when(~F.col("repeats"), 1)).alias("n_accepted"))
+
+
 def _cuts(spark: SparkSession, folder: str) -> DataFrame:
     return truncation.scores(table(spark, folder, "comments"), "comment_id", "body", "source_surface")
 
@@ -150,7 +171,7 @@ def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
     return p10_found(spark, folder).groupBy("subject").agg(F.count("*").alias("n_documents"), (F.count("*") / F.lit(n)).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_rates, p3_found, p3_redacted, p7_found, p7_scores, p7_rates, p4_found, p5_found, p5_terms, p5_ngrams, p8_ids, p9_mixture, p9_shares, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_batches, p2_found, p2_rates, p3_found, p3_redacted, p7_found, p7_scores, p7_rates, p4_found, p5_found, p5_terms, p5_ngrams, p8_ids, p9_mixture, p9_shares, p10_found, p10_shares)}
 
 _P4 = """
 WITH who AS (
