@@ -35,7 +35,12 @@ def keyword_norm(c: Column) -> Column:
 def ngrams(tokens: Column, low: int, high: int) -> Column:
     """All runs of ``low`` to ``high`` tokens as strings; empty where the text is shorter."""
     n = F.size(tokens)
-    sizes = [F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i, k=k: F.array_join(F.slice(tokens, i, F.lit(k)), " "))).otherwise(F.array().cast("array<string>")) for k in range(low, high + 1)]
+
+    def of(k: int) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(tokens, i, F.lit(k)), " "))
+        return F.when(n >= k, runs).otherwise(F.array().cast("array<string>"))
+
+    sizes = [of(k) for k in range(low, high + 1)]
     return F.concat(*sizes)
 
 
