@@ -63,8 +63,10 @@ def hierarchy(df: DataFrame, node: str, parent: Column, depth: str | None = None
     stages = [rows_path]
     done_cols = ["id", "stored", "state", F.col("id").alias("root"), F.col("dist").alias("true_depth"), *path_of]
     done_path = new_path(spark, "resolved")
-    rows.filter(F.col("state").isNotNull()).select(*done_cols).write.mode("append").parquet(done_path)
-    done = spark.read.parquet(done_path)
+    resolved_rows = rows.filter(F.col("state").isNotNull()).select(*done_cols)
+    schema = resolved_rows.schema
+    resolved_rows.write.mode("append").parquet(done_path)
+    done = spark.read.schema(schema).parquet(done_path)
     active = rows.filter(F.col("state").isNull()).select("id", "stored", "ptr", "dist", *path_of)
     left = active.count()
     for _ in range(MAX_ROUNDS):
@@ -85,7 +87,7 @@ def hierarchy(df: DataFrame, node: str, parent: Column, depth: str | None = None
         moved, at = written_at(step, "round")
         stages.append(at)
         moved.filter(F.col("state").isNotNull()).select("id", "stored", "state", "root", F.col("dist").alias("true_depth"), *path_of).write.mode("append").parquet(done_path)
-        done = spark.read.parquet(done_path)
+        done = spark.read.schema(schema).parquet(done_path)
         active = moved.filter(F.col("state").isNull()).select("id", "stored", "ptr", "dist", *path_of)
         now = active.count()
         if now == left:
@@ -93,7 +95,7 @@ def hierarchy(df: DataFrame, node: str, parent: Column, depth: str | None = None
         left = now
     tail = None
     if left:
-        tail = _cycles(active.select("id", "stored", "ptr"), base)
+        tail = _cycles(active.select("id", "stored", "ptr"))
     resolved = done.select("id", "stored", "state", "root", F.col("true_depth"), *path_of)
     for at in [*stages[:-1], base_path]:
         drop_path(spark, at)
@@ -102,7 +104,7 @@ def hierarchy(df: DataFrame, node: str, parent: Column, depth: str | None = None
     return resolved.unionByName(tail, allowMissingColumns=True)
 
 
-def _cycles(active: DataFrame, base: DataFrame) -> DataFrame:
+def _cycles(active: DataFrame) -> DataFrame:
     """State of the rows that lead into cycles.  The image of 2**k parent steps shrinks to the cycles' members; once a doubling leaves its size unchanged it stays."""
     jump = written(active.select("id", "ptr"), "jump")
     size = jump.select("ptr").distinct().count()
