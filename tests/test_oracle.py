@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import compare
+from helpers import compare
 from tallyforge.plans import registry
 
 
