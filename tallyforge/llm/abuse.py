@@ -9,7 +9,7 @@ threshold everywhere.  Thresholds are calibrated by language on held-out labelle
 Training: the labelled sentences of ``abuse_samples`` and then, as further clean ones, the sentences of ``SAMPLE``
 texts of the collection (the first by a hash of the text) that the first model finds clean.
 
-Defined cases: null, empty and blank texts score 0; any length of text is read whole; each row gets its own score.
+Defined cases: null, empty and blank texts and sentences without a word score 0; any length of text is read whole; each row gets its own score.
 """
 
 from __future__ import annotations
@@ -268,7 +268,7 @@ class Scorer:
             toks = [tokens(s) for s in part]
             for s, t, p in zip(part, toks, self.net.scores(toks).tolist(), strict=True):
                 g = self.net.thresholds[language(t)]
-                self.seen[s] = 0.5 * p / g if p < g else 0.5 + 0.5 * (p - g) / (1 - g)
+                self.seen[s] = 0.0 if not t else 0.5 * p / g if p < g else 0.5 + 0.5 * (p - g) / (1 - g)
         return [max((self.seen[s] for s in ss), default=0.0) for ss in split]
 
 

@@ -8,7 +8,8 @@ earlier partitions.  A second pass over the kept partitions subtracts each contr
 position.
 
 Defined cases: a null contributor is nobody, its rows never count and are left out; ties are broken by the last order
-columns, which must be a key; an empty table gives no rows; extra columns are carried along untouched.
+columns, which must be a key; an empty table gives no rows; extra columns are carried along untouched, but for one
+named ``position``, which is replaced, and names that start with ``__cap_``, which are reserved.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from tallyforge.session import shared_dir
 
 POSITION = "position"
-_KEY = "__contributor"
+_KEY, _PID = "__cap_contributor", "__cap_pid"
 
 
 def positions(df: DataFrame, contributor: Column, order: list[Column], partitions: int | None = None) -> DataFrame:
@@ -32,7 +33,7 @@ def positions(df: DataFrame, contributor: Column, order: list[Column], partition
     spark = df.sparkSession
     shared_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.withColumn(_KEY, contributor).filter(F.col(_KEY).isNotNull())
+    keyed = df.drop(POSITION).withColumn(_KEY, contributor).filter(F.col(_KEY).isNotNull())
     ranged = keyed.repartitionByRange(n, F.col(_KEY).asc(), *order).sortWithinPartitions(F.col(_KEY).asc(), *order)
     kept = ranged.checkpoint()  # both passes must see the same partitions
 
@@ -80,7 +81,7 @@ def positions(df: DataFrame, contributor: Column, order: list[Column], partition
             last, seen = names[b.num_rows - 1].as_py(), int(at[-1])
             yield pa.RecordBatch.from_arrays([*b.columns[1:-1], pa.array(at, pa.int64())], names=[*columns, POSITION])
 
-    return kept.select(F.spark_partition_id().alias("__pid"), *columns, _KEY).mapInArrow(place, schema)
+    return kept.select(F.spark_partition_id().alias(_PID), *columns, _KEY).mapInArrow(place, schema)
 
 
 def _runs(names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
