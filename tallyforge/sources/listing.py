@@ -83,6 +83,16 @@ def candidate_list(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("post_id", F.concat(F.lit("t3_"), F.regexp_extract("url", r"/comments/([a-z0-9]+)", 1)))
 
 
+def tolerant_json(text: Column) -> Column:
+    """The JSON object in noisy output: the whole text, else from its first opening to its last closing brace; null where neither is one."""
+    return F.coalesce(F.try_parse_json(text), F.try_parse_json(F.regexp_extract(text, r"(?s)(\{.*\})", 1)))
+
+
+def gap_filled(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``first``, and those of ``second`` whose keys it lacks: saved rows win over ones rebuilt from raw files."""
+    return first.unionByName(second.join(first.select(*keys).distinct(), keys, "left_anti"))
+
+
 def unseen(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of keys that no earlier run finished: what a resumed run still has to do."""
     return rows.join(done.select(*keys).distinct(), keys, "left_anti")
