@@ -37,6 +37,7 @@ _SPACED = re.compile(r"(?<!\S)(?:\w ){3,}\w(?!\w)")
 _TOKEN = re.compile(r"[\w#*@$]+(?:['’][\w]+)?|[!?]")
 _UNLEET = str.maketrans("4310578@$", "aeiostbas")
 _STRETCH = re.compile(r"(.)\1{2,}")
+_MAIL = re.compile(r"[\w.+\-]+ ?@ ?[\w\-]+(?:\.[\w\-]+)+|https?://\S+")
 _MASK = re.compile(r"[#*@$]")
 _VOWELS = re.compile(r"[aeiouáéíóúàèùâêîôûäöüy?]")
 #: Cyrillic and Greek letters that look like Latin ones, and characters that nobody sees.
@@ -53,7 +54,7 @@ LANGUAGE = {
 def tokens(sentence: str) -> list[str]:
     if not sentence.isascii():
         sentence = unicodedata.normalize("NFKC", sentence).translate(_ALIKE)
-    t = _SPACED.sub(lambda m: m.group().replace(" ", ""), sentence)
+    t = _SPACED.sub(lambda m: m.group().replace(" ", ""), _MAIL.sub(" handle ", sentence))
     t = _DOTTED.sub(lambda m: re.sub(r"[.\-_]", "", m.group()), t)
     return ["handle" if x[0] == "@" and len(x) > 3 and x[1:].replace("_", "").isalpha() else x.lower() for x in _TOKEN.findall(t)]
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import random
 
-SENTENCES = 9000
+SENTENCES = 11000
 
 #: First names of many countries, parts of surnames and streets, and kinds of streets.
 FIRST = """Amadou Ana Anselm Anders Andrew Anna Arjun Ayesha Bartek Beatriz Bohdan Brian Callum Carla Carlos Chiara Chloe Claire Clive Daniel David Deepak Diego
@@ -16,7 +16,7 @@ Dmitri Edda Elena Emeka Emily Emma Erik Ezra Fatima Felix Fiona Florian Francesc
 Ibrahim Ifeoma Ines Ingrid Isolde Ivan James Jarek Jasmin Javier Joaquin John Jonas Julia Kaspar Kate Kenji Kevin Klara Kofi Laura Lars Laszlo Leila Liam Liesl Linda
 Lucia Ludwig Luis Maeve Malik Marco Maria Marlene Marta Martin Mateo Mia Michael Mohamed Moritz Nadia Natalie Niamh Nikolai Nina Noor Odile Olga Oliver Omar Orla Oscar
 Paloma Patrick Paul Petra Pierre Priya Rachel Rafael Ramiro Rashid Rita Robert Roman Rosa Rowan Ruth Samuel Sandra Sara Saskia Sebastian Simone Sofia Stefan Sunniva Susan
-Tamara Tariq Thomas Tobin Tomas Ulrich Ursula Valentina Vera Viggo Viktor Wilma Winifred Yara Yusuf Zofia Zoe""".split()
+Tamara Tariq Thomas Tobin Tomas Ulrich Ursula Valentina Vera Viggo Viktor Wilma Winifred Torben Desmond Delphine Leopold Oskar Thandi Dagny Astrid Benedikt Camille Dieter Elif Gustav Hilda Jamal Yara Yusuf Zofia Zoe""".split()
 STEMS = """Aber Ash Black Brindle Brook Carter Dal Dom Dram Ed Fen Fern Garn Green Hal Hallow Harr Hart Hol Illes Jan Ken Kjel Kowal Lang March Mill Mor Nor Oden Omba Oquen
 Pem Petr Prusko Quist Rend Rendle Rich Rock Sand Schul Sokol Stan Stove Sul Tarn Tess Thorn Ulla Vald Varn Wal Wex Whit Wolf Zell""".split()
 ENDS = "beck berg brand by combe cote dez er ez field ford gate hall ham ho holt kirk land ley low man mann mere noll oglu ov rane riti sen ski son sson stein thorpe ton vane well wood worth".split()
@@ -118,7 +118,9 @@ NONE = [
     "Does anyone have real numbers on the {w} {w}?", "Mine {w} {w}, and the cure was a new {w} {w}", "Hat jemand Erfahrung mit {S} und {S}?", "Am Ende lag es an {S}, nicht an {S}", "Über {S} liest man viel, aber kaum etwas Brauchbares", "Seit drei Wochen beschäftigt mich {S}, und es wird nicht besser", "Wir haben {S} geprüft und danach {S}", "Sobre el {w} se lee de todo", "Quelqu'un a-t-il un avis sur le {w} et le {w} ?", "Llevo un año peleando con el {w} y nada",
     "The {w} {w} I spoke to blamed the {w} {w}", "A good {w} {w} would have caught the {w} in a week", "My {w} {w} said that the {w} was stale", "See [the pinout](https://wiki.example/{w}/{w})", "https://forum.example/r/{w}/comments/{6}/", "ticket #{3},{3} is closed", "job no. {6} is closed", "invoice {3},{3} was wrong", "at {3},{3} km it broke", "{3},{3} miles on the clock", "{4} hours on the meter", "from 1998 to 2015", "ISO {4} and DIN {4} bolts", "size {2}/{2} R{2}", "{1}/{1} inch drive", "12.5 mm, 3/8 and 7/16",
     "Honestly I just want it to be over", "Credit goes to the people who answered last month", "I learned more from this board than from anyone paid to know", "The short version is at the bottom", "EDIT: typo", "Ford, Dodge and Ram owners know", "The Lucas relay and the Bosch pump", "Texas summers and Ohio winters kill them", "I would not trust a {w} who ignores the {w} {w}", "After an hour the {w} {w} was out of balance", "Check the {w} {w} for play before you throw money at the {w} {w}",
-    "The old {w} address in the ECU is {2}x{2}", "at the dot on the {w}", "look at the {w} and dot the i", "meet at the {w} at {1} sharp", "Main Street parade was fun", "down the road, past the street light", "Who else was asked for this?", "the tax on it was {2} percent", "my licence expires soon", "they wanted a passport photo", "the social side is nice", "phone signal is weak there", "Let me know if the formatting breaks on a phone", "call it a day", "a call to the dealer cost {2} dollars", "mail order parts", "Mr Gasket headers", "Dr. Sludge is a joke name for it", "you {L} {w}", "Those {L} are {L} again", "what an absolute {L}", "Ihr seid alle {L}, kommt jetzt", "dans ce pays, {L} de {w}", "Eres un {L} y {w} mucho", "Keep talking {w} and see", "It is in their {w}. Those newcomers {w} it", "Women drivers {w} the {w}", "Lol look at this {L}, typical", "it was at [...]", "cost {3} {3} points"]
+    "The old {w} address in the ECU is {2}x{2}", "at the dot on the {w}", "look at the {w} and dot the i", "meet at the {w} at {1} sharp", "Main Street parade was fun", "down the road, past the street light", "Who else was asked for this?", "the tax on it was {2} percent", "my licence expires soon", "they wanted a passport photo", "the social side is nice", "phone signal is weak there", "Let me know if the formatting breaks on a phone", "call it a day", "a call to the dealer cost {2} dollars", "mail order parts", "Mr Gasket headers", "Dr. Sludge is a joke name for it", "you {L} {w}", "Those {L} are {L} again", "what an absolute {L}", "Ihr seid alle {L}, kommt jetzt", "dans ce pays, {L} de {w}", "Eres un {L} y {w} mucho", "Keep talking {w} and see", "It is in their {w}. Those newcomers {w} it", "Women drivers {w} the {w}", "Lol look at this {L}, typical", "it was at [...]", "cost {3} {3} points",
+    "{R} {R} like {R} and {R} every {R}", "the {R} {R} {R} like {w}", "{R} {R} in your {R} and {R}", "next {w} i see you at the {R} i bring the {R}", "they {R} everything that is not {R} down", "{R} dans ton {R}, sale {R}", "halt die {R}, du {R} {R}", "dir gehört die {R} {R}", "eres un {R} y das {R}", "ojalá te {R}, pedazo de {R}", "bet your mother {R} {R} you", "your {R} was {R} in my {w} {R}",
+    "bunch of {R} {R}, the lot of you", "somebody should {R} your {R} and your {R}", "{R} {R} should be put on a {R} and {R}", "go {R} about it, you {R} {R}", "do everyone a {R} and {R} off", "people of that {R} are too {R} to hold a {w}", "she was {R} for it in the {R} {R}", "{R}, {R} and {R}", "what a {R} {R}, your own {R} must be {R}", "delete your {R} and then {R}", "no {R} you {R} under a {w}"]
 
 
 def sentences(seed: int = 11, n: int = SENTENCES) -> list[list[tuple[str, str]]]:
@@ -129,6 +131,11 @@ def sentences(seed: int = 11, n: int = SENTENCES) -> list[list[tuple[str, str]]]
         x = r.random()
         return ".".join(w) if x < 0.25 else " ".join(w) if x < 0.5 else w.translate(str.maketrans("aeiost", "431057")) if x < 0.8 else w.replace(w[1], w[1] * 4, 1)
 
+    def rare() -> str:
+        """A word that is in no list."""
+        w = "".join(r.choice(["b", "br", "d", "f", "g", "gr", "h", "k", "l", "m", "n", "p", "r", "s", "st", "t", "tr", "v", "w", "sch", ""]) + r.choice("aeiou") + r.choice(["", "n", "r", "l", "s", "ck", "t", "rd", "ng"]) for _ in range(r.choice([1, 2, 2, 3])))
+        return w + r.choice(["", "", "s", "ed", "ing", "er", "en", "e"])
+
     words = sorted({w for c in NONE + [x for v in CARRIERS.values() for x in v] for w in c.replace("{", " ").replace("}", " ").split() if w.isalpha() and w.islower() and len(w) > 3})
 
     def fill(t: str) -> str:
@@ -136,7 +143,7 @@ def sentences(seed: int = 11, n: int = SENTENCES) -> list[list[tuple[str, str]]]
         for i, x in enumerate(t.split("{")):
             if i:
                 k, rest = x.split("}", 1)
-                out.append(m.digits(int(k)) if k.isdigit() else bent(r.choice(words)) if k == "L" else r.choice(FIRST) if k == "F" else m.surname() if k == "S" else r.choice(words).capitalize() if k == "W" else r.choice(words) if r.random() < 0.8 else (r.choice(STEMS) + r.choice(ENDS)).lower())
+                out.append(m.digits(int(k)) if k.isdigit() else bent(r.choice(words)) if k == "L" else rare() if k == "R" else r.choice(FIRST) if k == "F" else m.surname() if k == "S" else r.choice(words).capitalize() if k == "W" else r.choice(words) if r.random() < 0.8 else (r.choice(STEMS) + r.choice(ENDS)).lower())
                 out.append(rest)
             else:
                 out.append(x)
