@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
 from tallyforge.functions.vocabulary import Lexicon
+from tallyforge.session import written
 
 #: The patterns behind the flags.
 FLAGS = {
@@ -44,6 +45,8 @@ def flags(df: DataFrame, lexicon: Lexicon) -> DataFrame:
         .when(F.col("text").rlike(r"(?i)^\s*(?:same|this|lol|lmao|nice|agreed|following|bump)\s*[.!?]*\s*$"), "banter")
         .when(any_hit(lexicon.off_domain) | where.isin([c.lower() for c in lexicon.excluded_communities]), "off_domain")
     )
+    words = F.when(F.col("norm") == "", 0).otherwise(F.size(F.split("norm", " ")))
+    x = x.withColumns({"short": words < 8, "advert": low.rlike(ADVERT), "quoted": F.ltrim("text").rlike("^[\"']")})
     x = x.withColumn("hard", hard).withColumn("in_domain", F.col("approved") | F.col("platform_hit") | F.col("vehicle_hit"))
     return x.withColumn("registers", F.col("hard").isNull() & F.col("in_domain"))
 
@@ -54,8 +57,14 @@ def first_uses(flagged: DataFrame) -> DataFrame:
 
 
 def reasons(flagged: DataFrame) -> DataFrame:
-    """With ``reason``: hard, else duplicate of an earlier scored record, else out of domain, else null."""
-    x = flagged.join(first_uses(flagged), ["record_type", "norm"], "left")
+    """With ``reason``: hard, else duplicate of an earlier scored record, else out of domain, else null.
+
+    The texts have done their part: without them, and with a digest for the normalised text, the records are written
+    once, so that the patterns run once and the join moves a few bytes a record.
+    """
+    narrow = flagged.drop("text", "lower", "title", "body").withColumn("norm", F.when(F.col("norm") != "", F.md5("norm")).otherwise(""))
+    x = written(narrow, "flags")
+    x = x.join(first_uses(x), ["record_type", "norm"], "left")
     dup = F.col("hard").isNull() & (F.col("norm") != "") & (F.col("first_ord") < F.col("ord"))
     return x.withColumn("reason", F.when(F.col("hard").isNotNull(), F.col("hard")).when(dup, "duplicate").when(~F.col("in_domain"), "missing_context"))
 
@@ -73,8 +82,7 @@ def scored(judged: DataFrame) -> DataFrame:
         "c_diagnostic": b(c("diagnostic"), 10),
         "c_engagement": F.least(F.lit(5), F.floor(F.log1p(F.greatest(F.coalesce("score", F.lit(0)), F.lit(0)).cast("double")))).cast("int"),
     }
-    words = F.when(c("norm") == "", 0).otherwise(F.size(F.split("norm", " ")))
-    minus = {"m_short": b(words < 8, 5), "m_advert": b(c("lower").rlike(ADVERT), 10), "m_quote": b(F.ltrim("text").rlike("^[\"']") & ~c("first_person"), 5)}
+    minus = {"m_short": b(c("short"), 5), "m_advert": b(c("advert"), 10), "m_quote": b(c("quoted") & ~c("first_person"), 5)}
     x = judged.withColumns({k: F.when(c("reason").isNull(), v).otherwise(0) for k, v in (comp | minus).items()})
     total = sum((c(k) for k in comp), F.lit(0)) - sum((c(k) for k in minus), F.lit(0))
     x = x.withColumn("quality", F.when(c("reason").isNull(), F.greatest(F.lit(0), F.least(F.lit(100), total))).otherwise(0).cast("int"))
