@@ -94,5 +94,5 @@ def ngram_counts(df: DataFrame, term: str, records: str, sigma: int = SIGMA, per
 
 def marks(counts: DataFrame, total: int, common_share: float) -> DataFrame:
     """term, mark: 'rare' with exactly one record, 'common' with more than ``common_share`` of all records."""
-    mark = F.array_compact(F.array(F.when(F.col("term_records") == 1, F.lit("rare")), F.when(F.col("term_records") > F.lit(common_share) * F.lit(total), F.lit("common"))))
+    mark = F.array_compact(F.array(F.when(F.col("term_records") == 1, F.lit("rare")), F.when(F.col("term_records") * 1_000_000 > round(common_share * 1_000_000) * total, F.lit("common"))))  # in whole numbers: a share of exactly the limit is not above it
     return counts.filter(F.col("term_rows") > 0).select(F.col("ngram").alias("term"), F.explode(mark).alias("mark"))
