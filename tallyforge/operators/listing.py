@@ -167,7 +167,7 @@ def balanced(df: DataFrame, k: int) -> DataFrame:
 def read_targets(candidates: DataFrame, done: DataFrame, k: int) -> DataFrame:
     """Posts still to read: not read yet, so many a community that those read and these are at most k."""
     have = done.groupBy("community").agg(F.count("*").alias("have"))
-    todo = candidates.join(done.select("post_id"), "post_id", "left_anti").join(F.broadcast(have), "community", "left")
+    todo = candidates.join(done.select("post_id"), "post_id", "left_anti").join(have, "community", "left")
     n = F.row_number().over(Window.partitionBy("community").orderBy(*_rank()))
     return todo.withColumn("n", n).filter(F.col("n") + F.coalesce("have", F.lit(0)) <= k)
 
