@@ -70,6 +70,14 @@ def test_hot_parent(spark):
     assert descendants(t).filter("id = 'top'").first().descendants == 500
 
 
+def test_hot_parent_in_slices(spark):
+    rows = [("top", None, 1), ("mid", "t1_top", 2)] + [(f"c{i}", "t1_mid", 3) for i in range(400)] + [(f"d{i}", f"t1_c{i}", 4) for i in range(50)] + [("x", "t1_y", 1), ("y", "t1_x", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    plain = hierarchy(df, "id", comment_parent(F.col("parent_id")), "depth")
+    split = hierarchy(df, "id", comment_parent(F.col("parent_id")), "depth", hot_rows=20)
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, split.collect())) and split.count() == len(rows)
+
+
 def test_defined_cases(spark):
     rows = [(None, "a", 1), ("a", None, None), ("a", None, 1), ("a", None, 1), ("s", "t1_s", 1), ("b", "t1_s", 1), ("o", "t1_gone", 1), ("p", "o", 2), ("x", " ", 3)]
     t = tree(spark, rows)
