@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import compare
-from tallyforge.llm import capping, frequency, history, mixing
+from tallyforge.llm import capping, frequency, history, mixing, names
 from tallyforge.llm import queries as Q
 from tallyforge.llm import tokens as K
 
@@ -168,6 +168,12 @@ def test_history_like_one_after_the_other(spark, folder):
     want = sequential(posts, batch, common)
     assert set(got) == set(want)
     assert {k: (got[k], want[k], [x for x in batch if x[1] == k]) for k in want if got[k] != want[k]} == {}
+    # The same with hot ids and titles met in slices.
+    new = spark.read.parquet(f"{d}/post_batches.parquet")
+    store = history.Store(spark, hot_rows=3)
+    store.append(history.prints(spark.read.parquet(f"{d}/posts.parquet"), F.lit(0), F.lit(0), F.col("post_id"), "title", common))
+    rows = history.prints(new, F.col("batch_no"), F.col("row_id"), names.post_id(F.col("post_id")), "title", common)
+    assert {x.r: x.match for x in store.check(rows, common).filter("repeats").collect()} == got
     assert Q.p1_batches(spark, d).agg(F.sum("n_repeats")).first()[0] == len(want)
 
 
