@@ -80,8 +80,10 @@ class Crf:
 
     def __init__(self, weights: np.ndarray, trans: np.ndarray):
         self.w, self.trans = weights.astype(np.float32), trans.astype(np.float32)
-        #: What transitions and skip edges could add to another label than 'none', for each token of a run.
-        self.bound = 2 * max(0.0, float((trans - trans[0, 0]).max())) + 2 * SKIP
+        # Most that another label could gain over 'none' by the steps to and from its neighbours: beyond it a token is
+        # 'none' whatever its open neighbours are; [left open, right open], neighbours that aren't open being 'none'.
+        gain = trans[:, 1:, None] + trans[None, 1:, :] - trans[:, :1, None] - trans[None, :1, :]  # before, own, after
+        self.bound = np.array([[gain[0, :, 0].max(), gain[0].max()], [gain[:, :, 0].max(), gain.max()]], np.float32)
 
     def vector(self, names: list[str]) -> np.ndarray:
         return self.w[[_place(n) for n in names]].sum(0)
@@ -99,6 +101,7 @@ class Tables:
     def clear(self) -> None:
         self.code: dict[str, int] = {}
         self.words: list[str] = []
+        self.low: list[str] = []
         self.cls: list[int] = []
         self.shape_code: dict[str, int] = {}
         self.shapes: list[str] = []
@@ -115,6 +118,7 @@ class Tables:
             self.shapes.append(s)
         c = self.code[t] = len(self.words)
         self.words.append(t)
+        self.low.append(t.lower())
         self.cls.append(k)
         v = self.crf.vector
         self.rows.append(np.stack([v(_own(t, s)), *[v(_beside(t, s, at)) for at in (-2, -1, 1, 2)]]))
@@ -132,6 +136,7 @@ class Tables:
         if self.size != len(self.words):
             self.table = np.stack(self.rows)
             self.classes = np.array(self.cls)
+            self.links = np.array([_links(w) for w in self.low])
             n, old = len(self.shapes), self.pairs.shape[1]
             if n > old:
                 pairs = np.zeros((3, n, n, 6), np.float32)
@@ -280,11 +285,19 @@ def _max_marginals(u: np.ndarray, starts: np.ndarray, length: np.ndarray, trans:
     return out
 
 
-def decode(crf: Crf, u: np.ndarray, doc: np.ndarray, codes: np.ndarray, key: list[str]) -> np.ndarray:
+def decode(crf: Crf, u: np.ndarray, doc: np.ndarray, codes: np.ndarray, key: list[str], links: np.ndarray) -> np.ndarray:
     """Labels of the stream: chain messages over the runs, skip messages between repeated tokens of a document."""
     labels = np.zeros(len(u), np.int8)
     margin = u[:, 0] - u[:, 1:].max(1)
-    active = np.flatnonzero((margin <= crf.bound) & (codes != 0))
+    extra = np.where(links[codes], 2 * SKIP, 0.0)
+    active = np.flatnonzero((margin <= crf.bound[1, 1] + extra) & (codes != 0))
+    while len(active):  # a token that is certain closes its neighbours' sides, which may make them certain
+        joined = np.diff(active) == 1
+        left, right = np.append(False, joined).astype(int), np.append(joined, False).astype(int)
+        keep = margin[active] <= crf.bound[left, right] + extra[active]
+        if keep.all():
+            break
+        active = active[keep]
     if not len(active):
         return labels
     new = np.append(True, (np.diff(active) > 1) | (np.diff(doc[active]) > 0))
@@ -297,7 +310,7 @@ def decode(crf: Crf, u: np.ndarray, doc: np.ndarray, codes: np.ndarray, key: lis
     pairs = []
     for k, (d, c) in enumerate(zip(doc[active].tolist(), codes[active].tolist(), strict=True)):
         w = key[c]
-        if len(w) >= 4 and w.isalpha():
+        if links[c]:
             before = seen.get((d, w))
             if before is not None:
                 pairs.append((before, k))
@@ -316,6 +329,11 @@ def decode(crf: Crf, u: np.ndarray, doc: np.ndarray, codes: np.ndarray, key: lis
     return labels
 
 
+def _links(word: str) -> bool:
+    """Whether occurrences of a word share skip edges."""
+    return len(word) >= 4 and word.isalpha()
+
+
 def _message(b: np.ndarray) -> np.ndarray:
     """To the other end of a skip edge: the reward for a label is what the sender's belief leaves of SKIP for it."""
     top = b.max(1, keepdims=True)
@@ -359,7 +377,7 @@ class Finder:
             stream += [0, 0]
         codes = np.array(stream)
         doc = np.repeat(np.arange(len(texts) + 1), np.append(2, np.array(doc_of, int) + 2)) if texts else np.zeros(2, int)
-        labels = decode(t.crf, t.unary(codes), doc, codes, [w.lower() for w in t.words]) if texts else np.zeros(2)
+        labels = decode(t.crf, t.unary(codes), doc, codes, t.low, t.links) if texts else np.zeros(2)
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         hot = np.flatnonzero(labels)
         if len(hot):

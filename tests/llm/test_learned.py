@@ -80,11 +80,30 @@ def test_skip_edges_carry_a_label():
     u[[0, 1, 8], 0] = u[[3, 4, 5, 7], 0] = 20
     codes = np.array([0, 0, 1, 2, 3, 4, 1, 5, 0])
     doc = np.array([0, 0, 1, 1, 1, 1, 1, 1, 1])
-    with_link = pii.decode(crf, u, doc, codes, ["", "hallow", "a", "b", "c", "d"])
-    no_link = pii.decode(crf, u, doc, np.array([0, 0, 1, 2, 3, 4, 6, 5, 0]), ["", "hallow", "a", "b", "c", "d", "other"])
+    links = np.array([False, True, False, False, False, False, True])
+    with_link = pii.decode(crf, u, doc, codes, ["", "hallow", "a", "b", "c", "d", "other"], links)
+    no_link = pii.decode(crf, u, doc, np.array([0, 0, 1, 2, 3, 4, 6, 5, 0]), ["", "hallow", "a", "b", "c", "d", "other"], links)
     assert with_link[2] == 5 and no_link[2] == 5 and with_link[6] >= no_link[6]
 
 
+def test_cutting_chains_loses_nothing():
+    """The labels are those of the best of all labellings."""
+    import itertools
+
+    import numpy as np
+
+    crf, r, n = pii.trained(), np.random.default_rng(1), 5
+    for _ in range(60):
+        u = r.normal(0, 4, (n, 6)).astype(np.float32)
+        score = lambda l: sum(u[i, l[i]] for i in range(n)) + crf.trans[0, l[0]] + crf.trans[l[-1], 0] + sum(crf.trans[l[i], l[i + 1]] for i in range(n - 1))  # noqa: B023, E731, E741
+        best = max(itertools.product(range(6), repeat=n), key=score)
+        whole = np.zeros((n + 4, 6), np.float32)
+        whole[[0, 1, -1, -2], 0] = 99
+        whole[2:-2] = u
+        codes, doc = np.array([0, 0, *range(1, n + 1), 0, 0]), np.array([0, 0] + [1] * (n + 2))
+        assert tuple(pii.decode(crf, whole, doc, codes, [""] + ["a"] * n, np.zeros(n + 1, bool))[2:-2]) == best
+
+
 # --- 7: abuse ----------------------------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def net():
