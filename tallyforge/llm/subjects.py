@@ -8,14 +8,15 @@ set goes with a subject.
    counted by subject, partly summed where they are read.
 3. Items whose share within one subject stands out are informative; a run of words is one only if it tells more than
    its parts.
-4. Parallel frequent-pattern growth over the labelled transactions finds the frequent item sets with and without each
-   subject; those with enough confidence are rules, and a rule is redundant if a part of its item set has no less.
+4. Item sets of any length are counted by subject over the whole labelled transactions, one length after the other;
+   those with enough confidence are rules, and a rule is redundant if a part of its item set has no less.  A set is
+   made longer only while that may still give a rule (see ``_Sets``), which loses none.
 5. A sentence's evidence for a subject is the sum of the log odds of its matching rules, with confidences smoothed and
    set against the subject's share of the transactions; the least evidence is calibrated on the labelled texts.
    A document has a subject if two or more of its sentences are about it, and keeps at most three.
 
-Item sets have a support of at least ``SUPPORT`` of the transactions and at most ``MOST_ITEMS`` items, so the rules
-that are sent to the executors are bounded whatever the number of documents.
+Item sets occur in at least ``SUPPORT`` of the labelled sentences with a subject, so the rules that are sent to the
+executors are bounded whatever the number of documents.
 
 Defined cases: null, blank and empty texts have no subject; repeated documents are treated alike; extra columns are
 ignored; without labelled texts there are no rules and no subjects.
@@ -26,17 +27,19 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import pyarrow as pa
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.session import written
 
 SUPPORT, LEAST_COUNT, CONFIDENCE, SIGMAS = 2e-5, 4, 0.6, 3.5
-MOST_ITEMS, MOST_SUBJECTS, LEAST_SENTENCES = 6, 3, 2
+MOST_SUBJECTS, LEAST_SENTENCES = 3, 2
+#: How much stronger than each of its parts a rule has to be.
+BETTER = 1e-3
 #: A document labels its sentences if so many of them are given to a subject, with this share to the first one.
 SEED_SENTENCES, SEED_SHARE = 2, 0.75
 FLUSH = 300_000
@@ -147,7 +150,7 @@ def _informative(counts: DataFrame, least: float) -> dict[str, tuple[str, float]
 
 
 def _transactions(df: DataFrame, text: str, rules: dict, kept: dict[str, tuple[str, float]]) -> DataFrame:
-    """The ``MOST_ITEMS`` most telling items and the subject of every sentence of the documents that the seeds label."""
+    """subject, items, n: how many sentences of the documents that the seeds label have these informative items."""
 
     sent = df.sparkSession.sparkContext.broadcast((rules, kept))  # both bounded, see _informative and seeds
 
@@ -159,12 +162,97 @@ def _transactions(df: DataFrame, text: str, rules: dict, kept: dict[str, tuple[s
                 got = _labelled(t, rules) if t else None
                 if got:
                     for i in got[1]:
-                        own = sorted((x for x in i if x in kept), key=lambda x: (-kept[x][1], x))[:MOST_ITEMS]
+                        own = sorted(x for x in i if x in kept)
                         if own:
-                            rows.append([f"={got[0]}", *own])
-            yield pa.RecordBatch.from_pydict({"items": pa.array(rows, pa.list_(pa.string()))})
+                            rows.append((got[0], own))
+            yield pa.RecordBatch.from_pydict({"subject": pa.array([r[0] for r in rows], pa.string()), "items": pa.array([r[1] for r in rows], pa.list_(pa.string()))})
 
-    return df.select(text).mapInArrow(run, "items array<string>")
+    return df.select(text).mapInArrow(run, "subject string, items array<string>").groupBy("subject", "items").agg(F.count("*").alias("n"))
+
+
+ItemSet = tuple[str, ...]
+
+
+def _longer(own: list[str], size: int, by_first: dict[str, list[ItemSet]]) -> Iterable[ItemSet]:
+    """The sets of ``size`` sorted items of a transaction of which all parts one item shorter are open."""
+    if size == 1:
+        return [(x,) for x in own]
+    if size == 2:
+        return combinations([x for x in own if x in by_first], 2)
+    have = frozenset(own)
+    there = {k for x in own for k in by_first.get(x, ()) if have.issuperset(k)}
+    by_prefix: dict[ItemSet, list[str]] = defaultdict(list)
+    for k in sorted(there):
+        by_prefix[k[:-1]].append(k[-1])
+    joined = ((*prefix, *two) for prefix, last in by_prefix.items() for two in combinations(last, 2))
+    return [k for k in joined if all(k[:j] + k[j + 1 :] in there for j in range(size - 2))]
+
+
+def _set_counts(rows: DataFrame, size: int, open_sets: Iterable[ItemSet], least: float) -> Iterator[tuple[ItemSet, dict[str, int]]]:
+    """Item sets of ``size`` with their transactions by subject, of those that occur ``least`` times with one."""
+    by_first: dict[str, list[ItemSet]] = defaultdict(list)
+    for k in open_sets:
+        by_first[k[0]].append(k)
+    sent = rows.sparkSession.sparkContext.broadcast(dict(by_first))  # at most items of a transaction / SUPPORT
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_first = sent.value
+        count: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            b = pa.RecordBatch.from_pydict({"items": pa.array(["\t".join(k[0]) for k in count], pa.string()), "subject": pa.array([k[1] for k in count], pa.string()), "n": pa.array(list(count.values()), pa.int64())})
+            count.clear()
+            return b
+
+        for b in batches:
+            for subject, own, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                for k in _longer(own, size, by_first):
+                    count[k, subject] += n
+                if len(count) > FLUSH:
+                    yield out()
+        yield out()
+
+    by_subject = rows.select("subject", "items", "n").mapInArrow(run, "items string, subject string, n long").groupBy("items", "subject").agg(F.sum("n").alias("n"))
+    sets = by_subject.groupBy("items").agg(F.max("n").alias("most"), F.collect_list(F.struct("subject", "n")).alias("by"))
+    for r in sets.filter(F.col("most") >= least).select("items", "by").toLocalIterator():
+        yield tuple(r["items"].split("\t")), {x["subject"]: x["n"] for x in r["by"]}
+
+
+class _Sets:
+    """Takes item sets, the shorter ones first; keeps the rules and says which sets may still give longer rules.
+
+    Two kinds of sets are closed, with all that contain them.  One occurs in the same transactions as a part of it: it
+    has that part's strength, and each set around it that of the same set around the part.  In the other, for each
+    subject, a part is already as strong as a set would be all of whose transactions have the subject.
+    """
+
+    def __init__(self, prior: dict[str, int], least: float):
+        self.prior, self.least = prior, least
+        self.rules: list[tuple[ItemSet, str, float]] = []
+        self.last: dict[ItemSet, tuple[dict[str, int], dict[str, float]]] = {}  # of the open sets: counts, most strength of any part by subject
+
+    def take(self, sets: Iterable[tuple[ItemSet, dict[str, int]]]) -> list[ItemSet]:
+        """The sets that are open, of some that are all one item longer than those before."""
+        now = {}
+        for k, by in sets:
+            parts = [self.last[k[:j] + k[j + 1 :]] for j in range(len(k))] if len(k) > 1 else []
+            if any(p[0] == by for p in parts):
+                continue
+            best: dict[str, float] = {}
+            for _, strength in parts:
+                for s, c in strength.items():
+                    best[s] = max(c, best.get(s, 0.0))
+            share = {s: by[s] / self.prior[s] for s in sorted(by)}
+            subject = max(share, key=share.get)
+            if by[subject] >= self.least:
+                c = (share[subject] / sum(share.values()) * by[subject] + 0.5) / (by[subject] + 1.5)
+                if c >= CONFIDENCE and best.get(subject, 0.0) < c - BETTER:
+                    self.rules.append((k, subject, math.log(c / (1 - c))))
+                best[subject] = max(c, best.get(subject, 0.0))
+            if any(n >= self.least and best.get(s, 0.0) < (n + 0.5) / (n + 1.5) - BETTER for s, n in by.items()):
+                now[k] = (by, best)
+        self.last = now
+        return list(now)
 
 
 def mine(df: DataFrame, text: str, labelled: list[tuple[str, str]], terms: list[tuple[str, str]]) -> list[tuple[tuple[str, ...], str, float]]:
@@ -179,34 +267,18 @@ def mine(df: DataFrame, text: str, labelled: list[tuple[str, str]], terms: list[
     if not kept:
         return []
     rows = written(_transactions(df, text, seed, kept), "transactions")
-    total = rows.count()
-    if not total:
-        return []
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / total), minConfidence=1.0, numPartitions=int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))).fit(rows)
-    # Two items and a subject are enough for a rule.  Such sets: at most 21 for each of a transaction's / SUPPORT.
-    mark = F.exists("items", lambda x: x.startswith("="))
-    sets = model.freqItemsets.filter((F.size("items") <= 3) & mark).collect()
-    prior = {r["items"][0][1:]: r["freq"] for r in sets if len(r["items"]) == 1}
-    found: dict[frozenset, dict[str, float]] = defaultdict(dict)
-    for r in sets:
-        cls = [x for x in r["items"] if x.startswith("=")]
-        if len(cls) == 1 and len(r["items"]) > 1:
-            found[frozenset(r["items"]) - {cls[0]}][cls[0][1:]] = r["freq"] / prior[cls[0][1:]]
-    strength: dict[frozenset, tuple[str, float]] = {}
-    for k, by in found.items():
-        subject = max(sorted(by), key=by.get)
-        c = by[subject] / (sum(by.values()))
-        count = by[subject] * prior[subject]
-        strength[k] = (subject, (c * count + 0.5) / (count + 1.5))
-    rules = []
-    for k, (subject, c) in strength.items():
-        if c < CONFIDENCE:
-            continue
-        parts = [k - {x} for x in k] if len(k) > 1 else []
-        if any(p in strength and strength[p][0] == subject and strength[p][1] >= c - 1e-3 for p in parts):
-            continue
-        rules.append((tuple(sorted(k)), subject, math.log(c / (1 - c))))
-    return sorted(rules)
+    return rules_of(rows, least)
+
+
+def rules_of(rows: DataFrame, least: float) -> list[tuple[ItemSet, str, float]]:
+    """(item set, subject, weight) of the rules of transactions (subject, items in order, n)."""
+    prior = {r["subject"]: r["n"] for r in rows.groupBy("subject").agg(F.sum("n").alias("n")).collect()}
+    sets = _Sets(prior, least)
+    size, left = 1, sets.take(_set_counts(rows, 1, [], least))
+    while left:
+        size += 1
+        left = sets.take(_set_counts(rows, size, left, least))
+    return sorted(sets.rules)
 
 
 class Judge:

@@ -167,3 +167,38 @@ def test_redundant_rules_go():
     j = subjects.Judge([(("a",), "x", 2.0), (("b", "c"), "y", 3.0)])
     assert j.sentence("a c") == ("x", 2.0) and j.sentence("b c a") == ("y", 1.0) and j.sentence("zzz") is None
     assert j.document("a. a. b c.", 0.5) == [("x", 2)]
+
+
+def test_long_sentences_keep_all_their_items(spark):
+    words = {"law": "appeal bailiff clause docket evidence felony guardian hearing", "food": "broth crust dough glaze lemon risotto sorbet zest"}
+    labelled = [(s, f"{w}. {w}. {w}.") for s, w in words.items()]
+    docs = spark.createDataFrame([(f"{w}. {w}. {w}.",) for w in words.values() for _ in range(10)], "text string")
+    rules = {k: s for k, s, _ in subjects.mine(docs, "text", labelled, [])}
+    assert {k[0] for k in rules if len(k) == 1} == {x for w in words.values() for x in w.split()}
+
+
+def test_rules_are_those_of_all_item_sets(spark):
+    import itertools
+    import math
+    from collections import Counter
+
+    r = random.Random(4)
+    rows = [(s := r.choice("xyz"), sorted(r.sample("abcdefghi", r.choice([1, 2, 3, 8, 9])) + r.sample("pqr", s == "z")), r.randint(1, 3)) for _ in range(60)]
+    rows += [(s, [*"jkl"], 9) if odd else (s, sorted(r.sample("jkl", 2)), 4) for s, odd in [("x", True), *[("y", False)] * 8, *[("z", False)] * 8]]
+    count, prior = Counter(), Counter()
+    for s, own, n in rows:
+        prior[s] += n
+        for k in (k for size in range(1, len(own) + 1) for k in itertools.combinations(own, size)):
+            count[k, s] += n
+    want, strength = {}, {}
+    for k in sorted({k for k, _ in count}, key=len):
+        share = {s: count[k, s] / prior[s] for s in "xyz"}
+        s = max("xyz", key=share.get)
+        n = count[k, s]
+        if n >= 4:
+            strength[k] = (s, c := (share[s] / sum(share.values()) * n + 0.5) / (n + 1.5))
+            parts = [strength[p] for size in range(1, len(k)) for p in itertools.combinations(k, size) if p in strength]
+            if c >= subjects.CONFIDENCE and not any(p[0] == s and p[1] >= c - 1e-3 for p in parts):
+                want[k] = (s, round(math.log(c / (1 - c)), 9))
+    got = {k: (s, round(w, 9)) for k, s, w in subjects.rules_of(spark.createDataFrame(rows, "subject string, items array<string>, n long"), 4)}
+    assert got == want and max(map(len, got)) >= 3
