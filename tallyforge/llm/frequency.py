@@ -1,8 +1,8 @@
 """How often every term and every n-gram of terms occurs, in how many rows and records.
 
-Suffix-sorted counting: each term is a list of tokens, every suffix of it (cut to ``sigma`` tokens, the first one
-whole) is routed by its first token, sorted in descending order, and one pass with a stack counts all prefixes at
-once: a prefix's set of records is complete when it is popped, and passes into its parent's.
+Suffix-sorted counting: each term is a list of tokens, every suffix of it is routed by its first token, sorted in descending order, and one pass with a stack counts all prefixes at
+once: a prefix's set of records is complete when it is popped, and passes into its parent's.  With ``sigma`` every suffix
+but the first is cut to so many tokens: enough for counts of whole terms, but longer n-grams count only at a term's start.
 
 A first token may hold a third of all rows, and its record sets may be as large as the collection.  So a route is the
 first token together with a bucket of the record's hash: the sets of two buckets have no record in common, their
@@ -73,7 +73,7 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=[x.split()[0] for x in _OUT.split(", ")])
 
 
-def ngram_counts(df: DataFrame, term: str, records: str, sigma: int = SIGMA, per_route: int = PER_ROUTE) -> DataFrame:
+def ngram_counts(df: DataFrame, term: str, records: str, sigma: int | None = SIGMA, per_route: int = PER_ROUTE) -> DataFrame:
     """ngram, occurrences, n_rows, n_records, and term_rows, term_records: the same of the rows whose whole term it is.
 
     ``term`` is a column in its canonical form (tokens split by single spaces), ``records`` an array of canonical ids.
@@ -85,7 +85,7 @@ def ngram_counts(df: DataFrame, term: str, records: str, sigma: int = SIGMA, per
     entries = F.array_append(F.transform(F.coalesce("ids", F.array().cast("array<string>")), lambda x: F.struct(F.lit(False).alias("is_row"), x.alias("rec"))), F.struct(F.lit(True).alias("is_row"), F.col("row").alias("rec")))
     each = rows.select("tokens", F.explode(entries).alias("e")).select("tokens", "e.*")
     n = F.size("tokens")
-    suffixes = each.select("is_row", "rec", F.pmod(F.xxhash64("rec"), F.lit(buckets)).alias("bucket"), F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.when(i == 1, F.col("tokens")).otherwise(F.slice("tokens", i, F.lit(sigma))).alias("suffix"), (i == 1).alias("whole")))).alias("s"))
+    suffixes = each.select("is_row", "rec", F.pmod(F.xxhash64("rec"), F.lit(buckets)).alias("bucket"), F.explode(F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.when(i == 1, F.col("tokens")).otherwise(F.slice("tokens", i, n if sigma is None else F.lit(sigma))).alias("suffix"), (i == 1).alias("whole")))).alias("s"))
     routed = suffixes.select(F.col("s.suffix")[0].alias("first"), "bucket", "s.suffix", "is_row", "rec", "s.whole")
     sorted_ = routed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "first", "bucket").sortWithinPartitions("first", "bucket", F.col("suffix").desc())
     parts = sorted_.mapInPandas(_count, _OUT)

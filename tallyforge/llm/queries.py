@@ -129,7 +129,7 @@ def p5_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_ngrams(spark: SparkSession, folder: str) -> DataFrame:
     """Occurrences, rows and distinct source posts of every n-gram within the terms."""
-    return frequency.ngram_counts(_terms(spark, folder), "term", "ids").select("ngram", "occurrences", "n_rows", F.col("n_records").alias("n_posts"))
+    return frequency.ngram_counts(_terms(spark, folder), "term", "ids", sigma=None).select("ngram", "occurrences", "n_rows", F.col("n_records").alias("n_posts"))
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:

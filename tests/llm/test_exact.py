@@ -61,6 +61,21 @@ def test_ngrams_like_brute_force(spark, per_route):
     assert got == {g: (occ[g], len(nr[g]), len(np_[g]), len(tr[g]), len(tp[g])) for g in occ}
 
 
+def test_long_ngrams_count_wherever_they_are(spark, folder):
+    r = random.Random(3)
+    terms = [" ".join(r.choice("ab") for _ in range(r.randint(1, 9))) for _ in range(40)]
+    rows = [{"candidate_id": i, "normalized_term": t, "source_post_ids": [f"t3_p{i % 7}"]} for i, t in enumerate(terms)]
+    got = {x.ngram: (x.occurrences, x.n_rows, x.n_posts) for x in Q.p5_ngrams(spark, folder(keyword_candidates=rows)).collect()}
+    occ, nr, np_ = Counter(), defaultdict(set), defaultdict(set)
+    for k, t in enumerate(terms):
+        w = t.split()
+        for g in (" ".join(w[i:j]) for i in range(len(w)) for j in range(i + 1, len(w) + 1)):
+            occ[g] += 1
+            nr[g].add(k)
+            np_[g].add(k % 7)
+    assert got == {g: (occ[g], len(nr[g]), len(np_[g])) for g in occ}
+
+
 # --- 8: tokens ---------------------------------------------------------------------------------------------------------
 def texts():
     r = random.Random(4)
