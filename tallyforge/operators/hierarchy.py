@@ -142,3 +142,38 @@ def descendants(tree: DataFrame, links: bool = False) -> DataFrame:
     if links:
         return pairs.select("ancestor", "descendant", (F.col("n") - 1 - F.col("at")).cast("int").alias("distance"))
     return pairs.groupBy(F.col("ancestor").alias("id")).agg((F.count("*") - 1).alias("descendants"))
+
+
+def links(df: DataFrame, node: str, parent: Column) -> DataFrame:
+    """ancestor, descendant, distance (the fewest steps up) of every row and each other row above it, in and below cycles too.
+
+    Members of a cycle are above each other and above all that leads into it.  A row below a cycle gets the rows up to
+    the member where its chain enters from a path that starts there, and the other members from their places in the ring.
+    """
+    base = written(nodes(df, node, parent, None).select("id", "parent"), "links")
+    tree = hierarchy(base, "id", F.col("parent"))
+    above = lambda t: descendants(t, links=True).filter(F.col("distance") > 0)
+    off = written(tree.filter(F.col("state").isin("cycle", "below_cycle")).select("id", "state").join(base, "id"), "off")
+    if off.isEmpty():
+        return above(tree)
+    ring = _rings(off.filter(F.col("state") == "cycle").select("id", "parent"))
+    below = hierarchy(off.select("id", F.when(F.col("state") == "below_cycle", F.col("parent")).alias("parent")), "id", F.col("parent"))
+    # A row and the member where its chain enters the cycle: itself, for a member.
+    entered = below.select(F.col("id").alias("descendant"), F.col("root").alias("id"), (F.col("true_depth") - 1).alias("steps")).join(ring, "id").select("descendant", "steps", "ring", F.col("at").alias("entry"), "length")
+    other = entered.join(ring.select("ring", "at", F.col("id").alias("ancestor")), "ring").filter(F.col("at") != F.col("entry"))
+    around = other.select("ancestor", "descendant", (F.col("steps") + F.pmod(F.col("entry") - F.col("at"), F.col("length"))).cast("int").alias("distance"))
+    return above(tree).unionByName(above(below)).unionByName(around)
+
+
+def _rings(members: DataFrame) -> DataFrame:
+    """id, ring (the cycle's least id), at (place in the ring, a parent one before its child), length of every cycle member."""
+    jump = written(members.select("id", F.col("parent").alias("ptr"), F.least("id", "parent").alias("low")), "ring")
+    for _ in range(MAX_ROUNDS):
+        t = jump.select(F.col("id").alias("t_id"), F.col("ptr").alias("t_ptr"), F.col("low").alias("t_low"))
+        step = jump.join(t, jump.ptr == t.t_id).select("id", F.col("t_ptr").alias("ptr"), F.least("low", "t_low").alias("low"), (F.col("t_low") < F.col("low")).alias("moved"))
+        jump = written(step, "ring")
+        if jump.filter("moved").isEmpty():
+            break
+    cut = members.join(jump.select("id", "low"), "id").select("id", F.when(F.col("id") != F.col("low"), F.col("parent")).alias("parent"))
+    placed = hierarchy(cut, "id", F.col("parent"), with_path=False).select("id", F.col("root").alias("ring"), F.col("true_depth").alias("at"))
+    return placed.join(placed.groupBy("ring").agg(F.max("at").alias("length")), "ring")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.operators.hierarchy import comment_parent, contradictions, descendants, hierarchy
+from tallyforge.operators.hierarchy import comment_parent, contradictions, descendants, hierarchy, links
 from tallyforge.sources.tables import table
 
 
@@ -24,11 +24,16 @@ def p6_paths(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_descendants(spark: SparkSession, folder: str) -> DataFrame:
-    """Number of descendants of every comment outside cycles."""
+    """Number of descendants of every comment that is neither in nor below a cycle; p6_links has those of all."""
     return descendants(_tree(spark, folder, True)).select(F.col("id").alias("comment_id"), "descendants")
 
 
-QUERIES = {"p6_found": p6_found, "p6_paths": p6_paths, "p6_descendants": p6_descendants}
+def p6_links(spark: SparkSession, folder: str) -> DataFrame:
+    """ancestor, descendant, distance: all descendants of every comment, in and below cycles too."""
+    return links(table(spark, folder, "comments"), "comment_id", comment_parent(F.col("parent_id")))
+
+
+QUERIES = {"p6_found": p6_found, "p6_paths": p6_paths, "p6_descendants": p6_descendants, "p6_links": p6_links}
 
 _WALK = """
 WITH RECURSIVE node AS (

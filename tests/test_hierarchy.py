@@ -90,3 +90,23 @@ def test_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([("a", None, 1, "q", "r", 3)], "id string, parent_id string, depth int, state string, path string, dist int")
     t = hierarchy(df, "id", comment_parent(F.col("parent_id")), "depth")
     assert [tuple(x) for x in t.select("id", "state", "path").collect()] == [("a", "top", "a")]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_links_of_all_rows(spark, seed):
+    from tallyforge.operators.hierarchy import links
+
+    r = random.Random(seed)
+    up = {f"n{i}": r.choice([None, f"n{r.randrange(45)}", f"n{r.randrange(45)}"]) for i in range(40)}
+    up |= {"ring0": "ring4", "below0": "ring2", "below1": "below0", "self": "self"} | {f"ring{i}": f"ring{i - 1}" for i in range(1, 5)}
+    want = set()
+    for i in up:
+        seen, cur, n = {i}, up[i], 1
+        while cur in up and cur not in seen:
+            want.add((cur, i, n))
+            seen.add(cur)
+            cur, n = up[cur], n + 1
+    df = spark.createDataFrame([(i, p and f"t1_{p}", 1) for i, p in up.items()], SCHEMA)
+    got = [tuple(x) for x in links(df, df.columns[0], comment_parent(F.col(df.columns[1]))).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert ("below0", "below1", 1) in want and ("ring3", "below0", 5) in want
