@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import text as T
 from tallyforge.functions.vocabulary import Lexicon
+from tallyforge.operators import skew
 from tallyforge.session import written
 
 #: The patterns behind the flags.
@@ -64,7 +65,10 @@ def reasons(flagged: DataFrame) -> DataFrame:
     """
     narrow = flagged.drop("text", "lower", "title", "body").withColumn("norm", F.when(F.col("norm") != "", F.md5("norm")).otherwise(""))
     x = written(narrow, "flags")
-    x = x.join(first_uses(x), ["record_type", "norm"], "left")
+    # A viral text may be a third of all records, the empty one more: the empty one matches nothing, hot ones stay where they are.
+    x = x.withColumn("use", F.when(F.col("norm") != "", F.concat_ws("|", "record_type", "norm")))
+    first = first_uses(x).select(F.concat_ws("|", "record_type", "norm").alias("__use"), "first_ord")
+    x = skew.join(x, first, "use", "__use", skew.hot_keys(x, "use"), how="left", nulls=True).drop("use", "__use")
     dup = F.col("hard").isNull() & (F.col("norm") != "") & (F.col("first_ord") < F.col("ord"))
     return x.withColumn("reason", F.when(F.col("hard").isNotNull(), F.col("hard")).when(dup, "duplicate").when(~F.col("in_domain"), "missing_context"))
 

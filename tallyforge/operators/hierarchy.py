@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.operators import skew
-from tallyforge.session import drop_path, new_path, written, written_at
+from tallyforge.operators.buckets import Buckets
+from tallyforge.session import written
 
 SEP = "/"
 MAX_ROUNDS = 64
@@ -39,73 +40,59 @@ def nodes(df: DataFrame, node: str, parent: Column, depth: str | None) -> DataFr
     return one.filter(F.col("id").isNotNull()).groupBy("id").agg(F.min("parent").alias("parent"), F.min("stored").alias("stored"))
 
 
-def hierarchy(df: DataFrame, node: str, parent: Column, depth: str | None = None, with_path: bool = True, hot_rows: int = skew.LEAST) -> DataFrame:
+def hierarchy(df: DataFrame, node: str, parent: Column, depth: str | None = None, with_path: bool = True) -> DataFrame:
     """id, stored, state ('top', 'orphan', 'cycle', 'below_cycle'), root, true_depth, path.
 
     ``path`` is root/.../id, from the topmost row that exists; ``root``, ``true_depth`` and ``path`` are null in and
     below cycles.  ``true_depth`` of an orphan counts from the topmost row that exists.  ``with_path`` false leaves
-    the column out of every round.  A row that at least ``hot_rows`` others (and one in a hundred of those unresolved)
-    point to is met in slices.
+    the column out of every round.
+
+    Rows are written bucketed by id, the resolved ones once and for all: a round moves only the pointers that are left,
+    to the rows they name and back.  Rows that point where one in a hundred of them does stay where they are.
     """
     spark = df.sparkSession
-    base, base_path = written_at(nodes(df, node, parent, depth), "nodes")
-    path_of = [F.col("path")] if with_path else []
-    known = base.select(F.col("id").alias("pid"))
+    more = ["path"] if with_path else []
+    path_type = ", path string" if with_path else ""
+    base = Buckets(spark, "nodes", "id string, parent string, stored int", "id")
+    base.append(nodes(df, node, parent, depth))
+    rows = base.read()
     # Round 0: a parent that is no row ends the chain there.
-    hot = skew.hot_keys(base, "parent", base.count(), least=hot_rows)
-    linked = skew.join(base, known, "parent", "pid", "id", hot, how="left").select("id", "stored", "parent", F.col("pid").isNotNull().alias("there"))
-    start = linked.select(
-        "id",
-        "stored",
-        F.when(F.col("there"), F.col("parent")).alias("ptr"),
-        F.when(F.col("parent").isNull(), F.lit("top")).when(~F.col("there"), F.lit("orphan")).alias("state"),
-        F.lit(1).alias("dist"),
-        *([F.col("id").alias("path")] if with_path else []),
-    )
-    rows, rows_path = written_at(start, "pointers")
-    stages = [rows_path]
-    done_cols = ["id", "stored", "state", F.col("id").alias("root"), F.col("dist").alias("true_depth"), *path_of]
-    done_path = new_path(spark, "resolved")
-    resolved_rows = rows.filter(F.col("state").isNotNull()).select(*done_cols)
-    schema = resolved_rows.schema
-    resolved_rows.write.mode("append").parquet(done_path)
-    done = spark.read.schema(schema).parquet(done_path)
-    active = rows.filter(F.col("state").isNull()).select("id", "stored", "ptr", "dist", *path_of)
-    left = active.count()
+    known = rows.select(F.col("id").alias("pid"))
+    linked = skew.join(rows.select("id", "stored", "parent"), known, "parent", "pid", skew.hot_keys(rows, "parent"), how="left", nulls=True)
+    there = F.col("pid").isNotNull()
+    step = linked.select("id", "stored", F.when(there, F.col("parent")).alias("ptr"), F.when(F.col("parent").isNull(), F.lit("top")).when(~there, F.lit("orphan")).alias("state"), F.lit(None).cast("string").alias("root"), F.lit(1).alias("dist"), *([F.col("id").alias("path")] if with_path else []))
+    done = Buckets(spark, "resolved", "id string, stored int, state string, root string, true_depth int" + path_type, "id")
+    held, left = base, None
     for _ in range(MAX_ROUNDS):
-        if not left:
-            break
-        target = done.select(F.col("id").alias("t_id"), F.col("state").alias("t_state"), F.col("root").alias("t_root"), F.col("true_depth").alias("t_dist"), F.lit(None).cast("string").alias("t_ptr"), *([F.col("path").alias("t_path")] if with_path else [])).unionByName(
-            active.select(F.col("id").alias("t_id"), F.lit(None).cast("string").alias("t_state"), F.lit(None).cast("string").alias("t_root"), F.col("dist").alias("t_dist"), F.col("ptr").alias("t_ptr"), *([F.col("path").alias("t_path")] if with_path else []))
-        )
-        # Many rows may point to one: a reply count, or a subtree, of a third of all rows.
-        step = skew.join(active, target, "ptr", "t_id", "id", skew.hot_keys(active, "ptr", left, least=hot_rows)).select(
-            "id",
-            "stored",
-            F.col("t_ptr").alias("ptr"),
-            F.col("t_state").alias("state"),
-            F.col("t_root").alias("root"),
-            (F.col("dist") + F.col("t_dist")).alias("dist"),
-            *([F.concat(F.col("t_path"), F.lit(SEP), F.col("path")).alias("path")] if with_path else []),
-        )
-        moved, at = written_at(step, "round")
-        stages.append(at)
-        moved.filter(F.col("state").isNotNull()).select("id", "stored", "state", "root", F.col("dist").alias("true_depth"), *path_of).write.mode("append").parquet(done_path)
-        done = spark.read.schema(schema).parquet(done_path)
-        active = moved.filter(F.col("state").isNull()).select("id", "stored", "ptr", "dist", *path_of)
-        now = active.count()
-        if now == left:
+        now = Buckets(spark, "pointers", "id string, stored int, ptr string, state string, root string, dist int" + path_type, "id")
+        now.append(step)
+        held.close(files=True)
+        held, moved = now, now.read()
+        done.append(moved.filter("state IS NOT NULL").select("id", "stored", "state", F.coalesce("root", "id").alias("root"), F.col("dist").alias("true_depth"), *more), placed=True)
+        active = moved.filter("state IS NULL")
+        n = active.count()
+        if not n or n == left:
+            left = n
             break
-        left = now
-    tail = None
-    if left:
-        tail = _cycles(active.select("id", "stored", "ptr"))
-    resolved = done.select("id", "stored", "state", "root", F.col("true_depth"), *path_of)
-    for at in [*stages[:-1], base_path]:
-        drop_path(spark, at)
-    if tail is None:
-        return resolved
-    return resolved.unionByName(tail, allowMissingColumns=True)
+        left = n
+        hot = skew.hot_keys(active, "ptr")
+        own = active.select("id", "stored", "ptr", "dist", *more)
+        ended = done.read().select(F.col("id").alias("d_id"), F.col("state").alias("d_state"), F.col("root").alias("d_root"), F.col("true_depth").alias("d_dist"), *[F.col(c).alias(f"d_{c}") for c in more])
+        on = active.select(F.col("id").alias("a_id"), F.col("ptr").alias("a_ptr"), F.col("dist").alias("a_dist"), *[F.col(c).alias(f"a_{c}") for c in more])
+        is_hot = F.col("ptr").isin(hot)
+        # Both joins are on the pointer, so it moves once; of hot pointers' targets there are fewer than skew.SHARE.
+        parts = [own.filter(~is_hot).join(ended, F.col("ptr") == F.col("d_id"), "left").join(on, F.col("ptr") == F.col("a_id"), "left")] if hot else [own.join(ended, F.col("ptr") == F.col("d_id"), "left").join(on, F.col("ptr") == F.col("a_id"), "left")]
+        if hot:
+            parts.append(own.filter(is_hot).join(F.broadcast(ended.filter(F.col("d_id").isin(hot))), F.col("ptr") == F.col("d_id"), "left").join(F.broadcast(on.filter(F.col("a_id").isin(hot))), F.col("ptr") == F.col("a_id"), "left"))
+        step = None
+        for part in parts:
+            one = part.select("id", "stored", F.col("a_ptr").alias("ptr"), F.col("d_state").alias("state"), F.col("d_root").alias("root"), (F.col("dist") + F.coalesce("d_dist", "a_dist")).alias("dist"), *([F.concat(F.coalesce("d_path", "a_path"), F.lit(SEP), F.col("path")).alias("path")] if with_path else []))
+            step = one if step is None else step.unionByName(one)
+    resolved = done.plain()
+    done.close()
+    tail = _cycles(held.read().filter("state IS NULL").select("id", "stored", "ptr")) if left else None
+    held.close(files=True)
+    return resolved if tail is None else resolved.unionByName(tail, allowMissingColumns=True)
 
 
 def _cycles(active: DataFrame) -> DataFrame:

@@ -94,8 +94,8 @@ def sources(found: DataFrame) -> DataFrame:
     return found.select("term", F.explode(ids).alias("x")).select("term", "x.kind", "x.id").filter(F.col("id").isNotNull() & (F.col("id") != "")).distinct()
 
 
-def round_two(candidates: DataFrame, most: int | None = 20, score: int = 65, users: int = 2, communities: int = 2) -> DataFrame:
-    """The best keywords that may start a second search."""
+def round_two(candidates: DataFrame, most: int | None = None, score: int = 65, users: int = 2, communities: int = 2) -> DataFrame:
+    """The keywords that may start a second search, all of them or the best ``most``."""
     good = candidates.filter(~F.col("status").isin("formal", "rejected") & (F.col("score") >= score) & (F.col("n_authors") >= users) & (F.col("n_communities") >= communities)).orderBy(F.col("score").desc(), "term")
     return good if most is None else good.limit(most)
 

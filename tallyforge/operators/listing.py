@@ -59,14 +59,17 @@ def dedup(df: DataFrame) -> DataFrame:
 
 def merge_first_wins(df: DataFrame, key: str, order: str, first: list[str], longest: str, highest: list[str], union: str) -> DataFrame:
     """One row for each key: ``first`` columns of the earliest row, the longest text (earliest of equals), the highest counts, the distinct values of ``union`` in order of appearance."""
-    seen = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(union).alias("v"))))
     text = F.coalesce(F.col(longest), F.lit(""))
-    return df.groupBy(key).agg(
-        *[F.min_by(F.struct(c), order)[c].alias(c) for c in first],
-        F.max_by(text, F.struct(F.length(text), -F.col(order))).alias(longest),
-        *[F.max(c).alias(c) for c in highest],
-        F.array_distinct(F.transform(seen, lambda x: x["v"])).alias(union),
-    )
+    size = lambda t, o: F.struct(-F.length(t), o)
+    # A key may hold a third of all deliveries: first one row for each key and value, combined on the map side.
+    each = df.groupBy(key, F.col(union).alias("__v")).agg(
+        F.min(order).alias("__o"), F.min_by(F.struct(*first), order).alias("__f"), F.min_by(F.struct(text.alias("t"), F.col(order).alias("o")), size(text, F.col(order))).alias("__t"), *[F.max(c).alias(c) for c in highest]
+    )
+    g = each.groupBy(key).agg(
+        F.min_by("__f", "__o").alias("__f"), F.min_by("__t.t", size(F.col("__t.t"), F.col("__t.o"))).alias(longest), *[F.max(c).alias(c) for c in highest],
+        F.transform(F.array_sort(F.collect_list(F.struct(F.col("__o").alias("o"), F.col("__v").alias("v")))), lambda x: x["v"]).alias(union),
+    )
+    return g.select(key, *[F.col(f"__f.{c}").alias(c) for c in first], longest, *highest, union)
 
 
 def window_scope(created: Column, start: date, end: date) -> Column:
@@ -169,7 +172,7 @@ def read_targets(candidates: DataFrame, done: DataFrame, k: int) -> DataFrame:
     have = done.groupBy("community").agg(F.count("*").alias("have"))
     todo = candidates.join(done.select("post_id"), "post_id", "left_anti").join(have, "community", "left")
     n = F.row_number().over(Window.partitionBy("community").orderBy(*_rank()))
-    return todo.withColumn("n", n).filter(F.col("n") + F.coalesce("have", F.lit(0)) <= k)
+    return todo.withColumn("n", n).filter(F.col("n") <= k).filter(F.col("n") + F.coalesce("have", F.lit(0)) <= k)  # the first is a group limit
 
 
 def coverage(df: DataFrame, keys: list[str], start: date, hint: Column) -> DataFrame:

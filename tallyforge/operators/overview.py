@@ -15,14 +15,14 @@ ANONYMOUS = ("unknown", "未知", "anonymous", "匿名", "")
 def pool(rows: DataFrame) -> DataFrame:
     """One row for each url (source and id where there is none): the longest texts (the earliest of equals), the highest counts, id and source of the first.
 
-    ``rows``: ord, source, item_id, url, title, excerpt, published, author, engagement, comments.  Rows without title and
+    ``rows``: ord (of any type that has an order), source, item_id, url, title, excerpt, published, author, engagement, comments.  Rows without title and
     excerpt are left out.
     """
     r = rows.filter((F.trim(F.coalesce("title", F.lit(""))) != "") | (F.trim(F.coalesce("excerpt", F.lit(""))) != ""))
     key = F.when(F.coalesce("url", F.lit("")) != "", F.concat(F.lit("url:"), "url")).otherwise(F.concat_ws(":", F.lit("id"), "source", "item_id"))
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     g = r.groupBy(key.alias("k")).agg(
-        F.min_by(F.struct("source", "item_id", "url"), "ord").alias("f"), *[F.max_by(text(c), F.struct(F.length(text(c)), -F.col("ord"))).alias(c) for c in ("title", "excerpt", "published", "author")], F.max("engagement").alias("engagement"), F.max("comments").alias("comments")
+        F.min_by(F.struct("source", "item_id", "url"), "ord").alias("f"), *[F.min_by(text(c), F.struct(-F.length(text(c)), F.col("ord"))).alias(c) for c in ("title", "excerpt", "published", "author")], F.max("engagement").alias("engagement"), F.max("comments").alias("comments")
     )
     return g.select(F.concat_ws(":", "f.source", "f.item_id").alias("evidence_id"), "f.source", "f.item_id", F.coalesce("f.url", F.lit("")).alias("url"), "title", "excerpt", "published", "author", "engagement", "comments")
 

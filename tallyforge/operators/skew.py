@@ -1,27 +1,38 @@
-"""Inner and left joins in which one key may hold a third of all rows of one side."""
+"""Joins in which one key may hold a third of all rows of one side."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A key is hot if it holds more than one in SHARE of the rows, and at least LEAST of them; so at most SHARE keys are.
-SHARE, LEAST, SLICES = 100, 200_000, 64
+#: A key is hot if it holds more than one in SHARE of the rows; so fewer than SHARE keys are.
+SHARE = 100
 
 
-def hot_keys(df: DataFrame, key: str, total: int, share: int = SHARE, least: int = LEAST) -> list:
-    """The hot keys, at most ``share`` of them; counted with partial sums on the map side.  With fewer than ``least`` rows nothing is counted."""
-    if total < least:
+def hot_keys(df: DataFrame, key: str, share: int = SHARE) -> list:
+    """The hot keys, fewer than ``share`` of them whatever the size.
+
+    One pass keeps a bounded set of candidates for each task, among which all hot keys are; a second counts those
+    exactly.  Neither moves more than a few hundred rows.
+    """
+    there = df.filter(F.col(key).isNotNull()).select(key)
+    found = there.stat.freqItems([key], 1.0 / share).first()[0] or []
+    if not found:
         return []
-    n = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    return [r[0] for r in n.filter(F.col("n") > max(total // share, least - 1)).collect()]
+    total = there.count()
+    n = there.filter(F.col(key).isin(found)).groupBy(key).agg(F.count("*").alias("n"))
+    return sorted(r[0] for r in n.filter(F.col("n") * share > total).collect())
+
 
+def join(many: DataFrame, one: DataFrame, many_key: str, one_key: str, hot: list, how: str = "inner", nulls: bool = False) -> DataFrame:
+    """Inner or left join of ``many`` (a written table, as it is read twice where keys are hot) with the unique keys of ``one``.
 
-def join(many: DataFrame, one: DataFrame, many_key: str, one_key: str, spread: str, hot: list, slices: int = SLICES, how: str = "inner") -> DataFrame:
-    """Inner (or left) join of ``many`` with the unique keys of ``one``.  Rows of hot keys are spread over slices by a hash of ``spread``, and the few rows of ``one`` they meet are copied to each slice."""
-    if not hot:
+    Rows of hot keys, and with ``nulls`` those without a key, stay where they are: the rows of ``one`` they meet, fewer
+    than SHARE, are sent to them.
+    """
+    if not hot and not nulls:
         return many.join(one, many[many_key] == one[one_key], how)
-    a = many.withColumn("__slice", F.when(F.col(many_key).isin(hot), F.pmod(F.xxhash64(spread), F.lit(slices))).otherwise(F.lit(0).cast("long")))
-    every = F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))
-    b = one.withColumn("__copy", F.explode(F.when(F.col(one_key).isin(hot), every).otherwise(F.array(F.lit(0).cast("long")))))
-    return a.join(b, (a[many_key] == b[one_key]) & (a["__slice"] == b["__copy"]), how).drop("__slice", "__copy")
+    stays = F.coalesce(F.col(many_key).isin(hot), F.lit(nulls))
+    few = F.broadcast(one.filter(F.col(one_key).isin(hot)))  # one row for each hot key
+    a, b = many.filter(stays), many.filter(~stays)
+    return a.join(few, F.col(many_key) == F.col(one_key), how).unionByName(b.join(one, F.col(many_key) == F.col(one_key), how))

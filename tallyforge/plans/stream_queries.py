@@ -49,7 +49,7 @@ def q_expansion(spark, folder):
     """Terms reached from one seed by way of the posts that candidates name, and the round."""
     k = table(spark, folder, "keyword_candidates").select(T.blank_to_null(T.keyword_norm(F.col("normalized_term"))).alias("term"), F.explode(F.transform("source_post_ids", lambda x: T.post_id(x))).alias("post_id")).filter("term IS NOT NULL AND post_id IS NOT NULL").distinct()
     seed = spark.createDataFrame([("warranty claim",)], "term string")
-    terms, _ = expansion.expand(seed, lambda t: k.join(t, "term", "left_semi"), lambda p: k.join(p, "post_id", "left_semi"), rounds=3)
+    terms, _ = expansion.expand(seed, lambda t: k.join(t, "term", "left_semi"), lambda p: k.join(p, "post_id", "left_semi"))
     return terms.select("term", F.col("round").cast("long").alias("round"))
 
 
@@ -72,7 +72,7 @@ ORACLE = {
     "q_stream_windows": "WITH m AS (SELECT max(ts) AS top FROM events) SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value) * 100)::BIGINT AS value100 FROM events, m WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= top - INTERVAL 2 HOUR GROUP BY 1, 2",
     "q_stream_dedup": "SELECT event_type, count(DISTINCT user_id) AS n_keys FROM events GROUP BY 1",
     "q_stream_upsert": "SELECT user_id, count(*) AS n, epoch_us(max(ts)) AS last FROM events GROUP BY 1",
-    "q_expansion": "WITH RECURSIVE " + _K + ", walk(term, round) AS (SELECT 'warranty claim', 0 UNION SELECT k2.term, w.round + 1 FROM walk w JOIN k k1 ON k1.term = w.term JOIN k k2 ON k2.post_id = k1.post_id WHERE w.round < 3) SELECT term, min(round)::BIGINT AS round FROM walk GROUP BY 1",
+    "q_expansion": "WITH RECURSIVE " + _K + ", walk(term, round) USING KEY (term) AS (SELECT 'warranty claim', 0::BIGINT UNION SELECT k2.term, min(w.round) + 1 FROM walk w JOIN k k1 ON k1.term = w.term JOIN k k2 ON k2.post_id = k1.post_id WHERE k2.term NOT IN (SELECT term FROM recurring.walk) GROUP BY 1) SELECT term, round FROM walk",
     "q_latest": "SELECT comment_id, arg_max(coalesce(score, -1), struct_pack(a := fetched_at, b := coalesce(score, -1), c := ord)) AS score FROM comments GROUP BY 1",
     "q_pending": "WITH n AS (SELECT DISTINCT CASE WHEN regexp_replace(lower(trim(post_id)), '^t3_', '') <> '' THEN 't3_' || regexp_replace(lower(trim(post_id)), '^t3_', '') END AS post_id FROM post_batches) SELECT post_id FROM n WHERE post_id IS NOT NULL AND post_id NOT IN (SELECT post_id FROM posts)",
 }

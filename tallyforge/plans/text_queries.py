@@ -86,7 +86,7 @@ def q_keyword_sources(spark, folder):
 
 
 def q_round_two(spark, folder):
-    return K.round_two(K.discover(_found(spark, folder)), most=40, score=60).select("term", F.col("score").cast("long").alias("score"))
+    return K.round_two(K.discover(_found(spark, folder)), score=60).select("term", F.col("score").cast("long").alias("score"))
 
 
 def q_keyword_library(spark, folder):
@@ -214,7 +214,7 @@ CASE WHEN role NOT IN ('weak', 'noise') AND quality >= 50 THEN CASE WHEN role =
     "q_ngrams": f"WITH w AS (SELECT post_id, regexp_extract_all(lower(title), '[a-z0-9]+') AS w FROM posts), t AS (SELECT unnest(list_filter({_NG}, lambda g: regexp_matches(g, '{_GOOD}') AND NOT regexp_matches(g, '{_BAD}') AND regexp_matches(g, '[a-z]'))) AS term FROM w) SELECT term, count(*) AS n FROM t GROUP BY 1",
     "q_keyword_candidates": "WITH " + CAND_SQL + " SELECT term, n_evidence, n_posts, n_authors, n_communities, array_to_string(methods, ',') AS methods, array_to_string(parents, ',') AS parents, score, category, status FROM cand",
     "q_keyword_sources": "WITH " + FOUND_SQL + ", s AS (SELECT DISTINCT term, 'record' AS kind, record_id AS id FROM m UNION SELECT term, 'post', post_id FROM m UNION SELECT term, 'author', author FROM m UNION SELECT term, 'community', community FROM m) SELECT term, kind, count(*) AS n FROM s WHERE id <> '' GROUP BY 1, 2",
-    "q_round_two": "WITH " + CAND_SQL + " SELECT term, score FROM cand WHERE score >= 60 AND n_authors >= 2 AND n_communities >= 2 ORDER BY score DESC, term LIMIT 40",
+    "q_round_two": "WITH " + CAND_SQL + " SELECT term, score FROM cand WHERE score >= 60 AND n_authors >= 2 AND n_communities >= 2",
     "q_keyword_library": "WITH " + _TEXTS + f""", f AS (SELECT CASE WHEN record_type = 'comment' THEN record_id END AS comment_id, post_id, author, CASE WHEN record_type = 'post' THEN community END AS community, CASE WHEN record_type = 'post' THEN 'ngram' ELSE 'comment' END AS method,
 unnest(list_filter({_NG}, lambda g: regexp_matches(g, '{_GOOD}') AND NOT regexp_matches(g, '{_BAD}') AND regexp_matches(g, '[a-z]'))) AS term FROM w),
 g AS (SELECT term, count(DISTINCT post_id) AS n_posts, count(DISTINCT nullif(author, '')) AS n_authors, count(DISTINCT comment_id) AS n_comments, list_sort(list(DISTINCT method)) AS methods, arg_min(community, post_id) FILTER (community IS NOT NULL) AS community FROM f WHERE {_search('term')} GROUP BY 1),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -27,9 +28,11 @@ def build(app: str = "tallyforge", master: str | None = None, **conf: str) -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (tests, local mode)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; in local mode one of our own where that is unset, on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = getattr(spark, "_tallyforge_dir", None)
         if not folder:
             folder = "file://" + tempfile.mkdtemp(prefix="tallyforge-")
@@ -50,6 +53,29 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """Leave an empty folder that says something is done."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(p)
+
+
+def files_digest(df: DataFrame) -> str:
+    """A digest of the names, sizes and times of the files behind a table: the same as long as they are."""
+    spark = df.sparkSession
+    conf, found = spark._jsc.hadoopConfiguration(), []
+    for name in sorted(df.inputFiles()):
+        p = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = p.getFileSystem(conf).getFileStatus(p)
+        found.append(f"{name}|{status.getLen()}|{status.getModificationTime()}")
+    return hashlib.sha256("\n".join(found).encode()).hexdigest()[:24]
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a written stage that nothing reads any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

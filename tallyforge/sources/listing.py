@@ -64,13 +64,13 @@ def thread_rows(raw: DataFrame) -> DataFrame:
 
 def report_rows(spark: SparkSession, path: str) -> DataFrame:
     """Rows of multi-source reports for ``operators.overview.pool``: ranked candidates first, then each source's items."""
-    text = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("doc"))
-    ranked = text.select(F.lit("").alias("group"), F.posexplode(F.try_variant_get("doc", "$.ranked_candidates", "array<variant>")).alias("pos", "raw"), F.lit(0).alias("part"))
-    by = text.select(F.explode(F.try_variant_get("doc", "$.items_by_source", "map<string,array<variant>>")).alias("group", "items")).select("group", F.posexplode("items").alias("pos", "raw"), F.lit(1).alias("part"))
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.try_parse_json("value").alias("doc"))
+    ranked = text.select("file", F.lit("").alias("group"), F.posexplode(F.try_variant_get("doc", "$.ranked_candidates", "array<variant>")).alias("pos", "raw"), F.lit(0).alias("part"))
+    by = text.select("file", F.explode(F.try_variant_get("doc", "$.items_by_source", "map<string,array<variant>>")).alias("group", "items")).select("file", "group", F.posexplode("items").alias("pos", "raw"), F.lit(1).alias("part"))
     get = lambda *n: F.coalesce(*[F.nullif(F.trim(F.try_variant_get("raw", f"$.{x}", "string")), F.lit("")) for x in n])
     rows = ranked.unionByName(by)
     number = lambda *n: F.coalesce(*[F.nullif(F.try_variant_get("raw", f"$.{x}", "double"), F.lit(0.0)) for x in n], F.lit(0.0)).cast("long")
-    order = F.col("part").cast("long") * 1_000_000_000 + F.pmod(F.xxhash64("group"), F.lit(1000)) * 1_000_000 + F.col("pos")
+    order = F.struct("file", "part", "group", "pos")
     return rows.select(
         order.alias("ord"), F.lower(F.coalesce(get("source"), F.nullif("group", F.lit("")), F.lit("unknown"))).alias("source"), F.coalesce(get("item_id", "id"), F.col("pos").cast("string")).alias("item_id"), get("url", "source_url").alias("url"), get("title", "name", "source_title").alias("title"),
         get("excerpt_original", "snippet", "summary", "body").alias("excerpt"), get("published_at", "date", "created_at").alias("published"), get("author", "username", "creator").alias("author"), number("engagement", "score", "upvotes").alias("engagement"), number("comment_count", "num_comments", "comments").alias("comments"),

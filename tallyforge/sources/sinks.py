@@ -53,6 +53,14 @@ def _column(i: int) -> str:
     return s
 
 
+def _few(name: str, df: DataFrame, most: int) -> list:
+    """The rows of a table of a report; more than ``most`` is an error, never a cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{name} has more than {most} rows; write it with sheets()")
+    return rows
+
+
 def workbook(tables: dict[str, DataFrame], path: str, most: int = MOST_ROWS) -> None:
     """One workbook (OOXML) with a sheet for each table, for reports that fit a driver: more than ``most`` rows is an error."""
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
@@ -60,9 +68,7 @@ def workbook(tables: dict[str, DataFrame], path: str, most: int = MOST_ROWS) ->
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         names = list(tables)
         for k, (name, df) in enumerate(tables.items(), 1):
-            rows = df.limit(most + 1).collect()
-            if len(rows) > most:
-                raise ValueError(f"sheet {name} has more than {most} rows; write it with sheets()")
+            rows = _few(name, df, most)
             lines = []
             for i, row in enumerate([df.columns, *rows], 1):
                 cells = "".join(f'<c r="{_column(j)}{i}" t="inlineStr"><is><t xml:space="preserve">{escape("" if v is None else str(v))}</t></is></c>' for j, v in enumerate(row))
@@ -76,7 +82,7 @@ def workbook(tables: dict[str, DataFrame], path: str, most: int = MOST_ROWS) ->
 
 
 def page(title: str, tables: dict[str, DataFrame], most: int = 5_000) -> str:
-    """A page that holds the tables' rows; <, > and & in them can't end the script."""
-    data = {n: [r.asDict(True) for r in df.limit(most).collect()] for n, df in tables.items()}
+    """A page that holds the tables' rows, for reports that fit a driver: more than ``most`` rows of a table is an error.  <, > and & in them can't end the script."""
+    data = {n: [r.asDict(True) for r in _few(n, df, most)] for n, df in tables.items()}
     inside = json.dumps(data, default=str, ensure_ascii=False).replace("<", "\\u003c").replace(">", "\\u003e").replace("&", "\\u0026")
     return f'<!doctype html><meta charset="utf-8"><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><script id="data" type="application/json">{inside}</script>'

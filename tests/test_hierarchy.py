@@ -70,12 +70,23 @@ def test_hot_parent(spark):
     assert descendants(t).filter("id = 'top'").first().descendants == 500
 
 
-def test_hot_parent_in_slices(spark):
+def test_hot_parents_stay_where_they_are(spark, monkeypatch):
+    from tallyforge.operators import skew
+
     rows = [("top", None, 1), ("mid", "t1_top", 2)] + [(f"c{i}", "t1_mid", 3) for i in range(400)] + [(f"d{i}", f"t1_c{i}", 4) for i in range(50)] + [("x", "t1_y", 1), ("y", "t1_x", 1)]
     df = spark.createDataFrame(rows, SCHEMA)
+    assert skew.hot_keys(df, "parent_id") == ["t1_mid"]
+    hot = hierarchy(df, "id", comment_parent(F.col("parent_id")), "depth")
+    monkeypatch.setattr(skew, "hot_keys", lambda *_: [])
     plain = hierarchy(df, "id", comment_parent(F.col("parent_id")), "depth")
-    split = hierarchy(df, "id", comment_parent(F.col("parent_id")), "depth", hot_rows=20)
-    assert sorted(map(repr, plain.collect())) == sorted(map(repr, split.collect())) and split.count() == len(rows)
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, hot.collect())) and hot.count() == len(rows)
+
+
+def test_hot_keys_are_all_found(spark):
+    from tallyforge.operators import skew
+
+    df = spark.createDataFrame([(f"k{i}",) for i in range(3000)] + [("a",)] * 30 + [("b",)] * 900 + [(None,)] * 500, "k string").repartition(7)
+    assert skew.hot_keys(df, "k") == ["b"] and skew.hot_keys(df.limit(0), "k") == []
 
 
 def test_defined_cases(spark):
