@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import abuse, capping, frequency, history, mixing, names, pii, subjects, tokens, truncation
-from tallyforge.session import written
+from tallyforge.session import exists, files_digest, mark, shared_dir, written
 from tallyforge.sources.tables import table
 
 CAP = 10
@@ -16,13 +16,21 @@ ABUSIVE = 0.5
 
 
 def _checked(spark: SparkSession, folder: str) -> DataFrame:
+    """All batches against the store of the posts, which is begun by the first call and opened again by later ones; accepted rows are appended to it."""
     posts, new = table(spark, folder, "posts"), table(spark, folder, "post_batches")
-    common = history.common_words(posts.select("title").unionByName(new.select("title")), "title")
-    store = history.Store(spark)
-    store.append(history.prints(posts, F.lit(0), F.lit(0), names.post_id(F.col("post_id")), "title", common))
-    batch = written(history.prints(new, F.col("batch_no"), F.col("row_id"), names.post_id(F.col("post_id")), "title", common), "batch")
-    checked = store.check(batch, common)
-    store.append(checked.filter(~F.col("repeats")))  # the next batch is held against these too
+    path = f"{shared_dir(spark)}/tallyforge-history/{files_digest(posts)}"
+    store = history.Store.open(spark, path)
+    if not exists(spark, f"{path}/begun"):
+        first = written(store.prints(posts, F.lit(0), F.lit(0), names.post_id(F.col("post_id")), "title"), "posts")
+        store.append(first)
+        mark(spark, f"{path}/begun")
+    batch = written(store.prints(new, F.col("batch_no"), F.col("row_id"), names.post_id(F.col("post_id")), "title"), "batch")
+    checked = store.check(batch)
+    there = f"{path}/taken-{files_digest(new)}"
+    if not exists(spark, there):
+        store.append(checked.filter(~F.col("repeats")))  # later batches are held against these too
+        mark(spark, there)
+    store.close()
     return checked
 
 
