@@ -70,12 +70,11 @@ def hierarchy(df: DataFrame, node: str, parent: Column, depth: str | None = None
         held, moved = now, now.read()
         done.append(moved.filter("state IS NOT NULL").select("id", "stored", "state", F.coalesce("root", "id").alias("root"), F.col("dist").alias("true_depth"), *more), placed=True)
         active = moved.filter("state IS NULL")
-        n = active.count()
+        n, hot = skew.counted(active, "ptr")
         if not n or n == left:
             left = n
             break
         left = n
-        hot = skew.hot_keys(active, "ptr")
         own = active.select("id", "stored", "ptr", "dist", *more)
         ended = done.read().select(F.col("id").alias("d_id"), F.col("state").alias("d_state"), F.col("root").alias("d_root"), F.col("true_depth").alias("d_dist"), *[F.col(c).alias(f"d_{c}") for c in more])
         on = active.select(F.col("id").alias("a_id"), F.col("ptr").alias("a_ptr"), F.col("dist").alias("a_dist"), *[F.col(c).alias(f"a_{c}") for c in more])
