@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import random
 
-SENTENCES = 11000
+SENTENCES = 15000
 
 #: First names of many countries, parts of surnames and streets, and kinds of streets.
 FIRST = """Amadou Ana Anselm Anders Andrew Anna Arjun Ayesha Bartek Beatriz Bohdan Brian Callum Carla Carlos Chiara Chloe Claire Clive Daniel David Deepak Diego
@@ -42,10 +42,17 @@ class Maker:
         return "".join(self.r.choice("ABCDEFGHJKLMNPRSTUVWXYZ") for _ in range(n))
 
     def surname(self) -> str:
+        if self.r.random() < 0.25:  # of no known parts
+            return "".join(self.r.choice("b c d f g h j k l m n p r s t v w z br tr kl st sch".split()) + self.r.choice("aeiou") for _ in range(self.r.choice([2, 3]))).capitalize() + self.r.choice(["", "n", "r", "l", "s", "ck"])
         return self.r.choice(STEMS) + self.r.choice(ENDS)
 
+    def first(self) -> str:
+        if self.r.random() < 0.25:  # in no list
+            return "".join(self.r.choice("b d f g h j k l m n p r s t v y z th ch".split()) + self.r.choice("aeiou") for _ in range(self.r.choice([2, 2, 3]))).capitalize() + self.r.choice(["", "", "n", "s", "l"])
+        return self.r.choice(FIRST)
+
     def name(self) -> str:
-        r, f, s = self.r, self.r.choice(FIRST), self.surname()
+        r, f, s = self.r, self.first(), self.surname()
         n = r.choices([f"{f} {s}", f"{f[0]}. {s}", f"{f} {self.up(1)}. {s}", f"{r.choice(TITLES)} {s}", f"{r.choice(TITLES)} {f} {s}", f"{s}, {f}", f"{f[0]}.{self.up(1)}. {s}"], [9, 3, 2, 5, 3, 3, 0.5])[0]
         return self.case(n, 0.27, 0.1)
 
@@ -62,14 +69,19 @@ class Maker:
 
     def phone(self) -> str:
         r, d = self.r, self.digits
+        if r.random() < 0.15:
+            return r.choice(["1" + d(10), d(10), d(11)])
         return r.choice([
-            f"{d(3)}-{d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"{d(3)} {d(3)} {d(4)}", f"{d(3)}/{d(3)}-{d(4)} ext. {d(2)}", f"{d(3)}-{d(3)}-{d(4)} x{d(3)}", f"+1 {d(3)} {d(3)} {d(4)}", f"1{d(10)}", f"+1-{d(3)}-{d(3)}-{d(4)}",
+            f"{d(3)}-{d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"1{d(10)}", d(11), f"{d(3)}.{d(3)}.{d(4)}", f"{d(3)} {d(3)} {d(4)}", f"{d(3)}/{d(3)}-{d(4)} ext. {d(2)}", f"{d(3)}-{d(3)}-{d(4)} x{d(3)}", f"+1 {d(3)} {d(3)} {d(4)}", f"1{d(10)}", f"+1-{d(3)}-{d(3)}-{d(4)}",
             f"+44 {d(4)} {d(6)}", f"0{d(4)} {d(3)} {d(3)}", f"0{d(4)} {d(6)}", f"+49 {d(2)} {d(5)} {d(3)}", f"+49 {d(3)} {d(7)}", f"0{d(3)} {d(6)}", f"+33 {d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"+34 {d(3)} {d(3)} {d(3)}",
             f"{d(3)}-{d(4)}", " ".join(d(3)) + " - " + " ".join(d(4)), " ".join(d(3)) + " - " + " ".join(d(3)) + " - " + " ".join(d(4)), f"+{d(2)}{d(10)}", f"{d(10)}", f"(0{d(2)}) {d(7)}"])
 
     def id_number(self) -> tuple[str, str]:
         """The words before it, and the number."""
         r, d, u = self.r, self.digits, self.up
+        if r.random() < 0.5:  # any paper with any number
+            n = r.choice([u(r.randint(1, 3)) + d(r.randint(5, 8)), u(1) + d(2) + u(1) + d(5), d(r.randint(8, 11)), d(8) + u(1), f"{d(3)}-{d(2)}-{d(4)}", f"{u(1)}{d(3)}-{d(4)}-{d(4)}", f"{d(2)} {d(2)} {d(2)} {d(3)}", u(2) + d(6) + u(1), f"{d(3)} {d(3)} {d(3)}", d(2) + u(2) + d(5)])
+            return r.choice(PAPERS) + r.choice([" ", " ", " ", ": ", " is ", " no. ", " # "]), n
         return r.choice([
             ("SSN ", f"{d(3)}-{d(2)}-{d(4)}"), ("my social is ", f"{d(3)}-{d(2)}-{d(4)}"), ("social ", f"{d(3)}-{d(2)}-{d(4)}"), ("social security number ", d(9)), ("social security number ", f"{d(3)}-{d(2)}-{d(4)}"), ("social security no. ", f"{d(3)} {d(2)} {d(4)}"),
             ("tax id ", f"{d(3)}-{d(2)}-{d(4)}"), ("tax ID: ", d(11)), ("passport ", f"{u(2)}{d(7)}"), ("passport no. ", d(9)), ("passport number ", f"{u(1)}{d(8)}"), ("Reisepass ", f"C{d(2)}{u(2)}{d(4)}"), ("passeport ", f"{d(2)}{u(2)}{d(5)}"), ("pasaporte ", f"{u(3)}{d(6)}"),
@@ -100,32 +112,50 @@ class Maker:
         return self.case(a, 0.25, 0.05)
 
 
+#: Papers that give a person a number.
+PAPERS = "passport|passport no.|passport number|Reisepass|pasaporte|passeport|Personalausweis|Ausweis|Ausweisnummer|ID card|ID card number|identity card|national id|driver's licence|driver's license|driving licence|driver license|DL|DL#|licence number|social security number|social security|social|SSN|tax id|tax number|Steuer-ID|Steuernummer|national insurance number|NI number|DNI|NIE|NIF|carte d'identité|numéro de sécu|permis|IBAN|resident permit|visa number".split("|")
+#: What else is numbered, and what is said of it; words that sentences of four languages are made of.
+THINGS = "batch|lot|part|part no.|part number|casting|stamp|serial|serial number|order|order number|invoice|job no.|ticket|ticket #|reference|ref.|SKU|bin|model|drawing|VIN|firmware|version|build|chassis|engine no.|tracking|tracking code|label|sticker|catalogue no.|code|bolt|bearing|claim|case|plate|charge|Teil Nr.|Charge|Bestellung|Rechnung|pièce|lot n°|commande|pieza|lote|pedido".split("|")
+SAID = ["{t} {n}", "the {t} reads {n}", "{t} {n} had a fault", "{t} {n} is newer", "it says {t} {n} on the {w}", "{n} is the {t}", "{t}: {n}", "look for {t} {n} on the {w}", "mine is {t} {n}", "the {t} on the {w} was {n}", "avoid {t} {n}", "{t} ends with {n}", "{t} begins {n}, from the {w}", "{t} starts at {n}", "the {t} goes {n}, made in {w}", "{t} {n} came with a new {w}"]
+SMALL = "the a of to and in is you your my not with for it that on der die das und ist du ich ein eine nicht mit von dich le la les de un une et est pas ton ta sur dans il el los una y es no que te con por en lo al".split()
+#: Phrases that say nothing about what stands in them: an entity's second mention, and words and numbers that are none.
+WEAK = ["{} again", "so {} it is", "and {}", "once more: {}", "that was {}", "{}, as said", "about {}", "back to {}", "{} then", "not {} but close", "see {} above", "still {}", "noch einmal {}", "encore {}", "otra vez {}"]
 #: Phrases around an entity; {} is its place.
 CARRIERS = {
-    "email": ["Write me at {}", "mail {} please", "Best to reach me: {}", "contact {} for the spare one", "contact {} for the manual", "PM or {}, either works", "Schreib mir an {}", "Mon adresse: {}", "Mi correo es {}", "The old address was {}, use that", "send it to {}", "my email is {}", "{} is where I read mail", "If you want the sheet, mail {} please", "Drop a line to {} and I answer", "écris à {}", "E-Mail an {} reicht", "Reach out via {}"],
-    "phone": ["Call {} after six", "Ring {} and ask about the core", "My cell is {}, leave a message", "text me on {} if you want it", "Reach out, {}, any evening", "The number I was given is {}", "Meine Nummer ist {}", "Llámame al {}", "Appelle le {}", "tel. {}", "phone: {}", "mobile {} works best", "Give me a ring on {}", "fax {}", "whatsapp {}", "Ruf an unter {}", "you can get me at {}", "dial {} and ask for parts"],
-    "id": ["I had to give {} to get the loaner", "They even wanted my {} for the core refund", "For the title transfer: {}", "He posted a photo with {} readable", "The form already had my {} printed on it", "Mine went out as {}, no envelope", "they copied my {}", "my {} was on the receipt", "Ich musste {} angeben", "on m'a demandé {}", "me pidieron {}", "The clerk typed {} into the form", "Why do they need {}?", "I sent them {} by mistake", "Document shown: {}", "For the transfer: {}", "Needed at the desk: {}", "Papers: {}"],
-    "address": ["I live at {}, come by", "Pick it up at {}", "Ship it to {}", "It was delivered to {} by mistake", "The truck is parked behind {}", "Look for the blue gate, {}", "Turn in at {} and honk", "my address is {}", "Ich wohne {}", "j'habite {}", "vivo en {}", "The shop moved to {}", "send parts to {} please", "come to {} on Saturday", "deliver to {}", "our house is {}"],
-    "name": ["Signed the work order as {}", "All credit to {}, who found the short", "The guy who sold it to me was {}", "Ask for {} and say I sent you", "Sold to {} last week", "My neighbour {} has the same truck", "{} rebuilt it in her garage", "{} rebuilt it in his garage", "The invoice says {}", "I talked to {} at the counter", "my boss {} agrees", "Danke an {} für den Tipp", "merci à {} pour la pièce", "gracias a {} por la ayuda", "{} told me the same", "{} fixed mine", "Bought it from {} in May", "Regards, {}", "cheers, {}", "the owner is {}", "met {} at the meet", "Thanks to {} for the photos", "written by {}"],
+    "email": ["Mi correo es {}", "send it to {}", "my email is {}", "{} is where I read mail", "If you want the sheet, mail {} please", "Drop a line to {} and I answer", "écris à {}", "E-Mail an {} reicht", "Reach out via {}", "Questions go to {}", "my address for bills is {}", "Just email {} with photos", "forward it to {}", "she uses {} these days", "You find me under {}", "{} bounced twice", "log in with {}", "Kontakt: {}", "courriel : {}", "correo: {}", "cc {} as well", "reply to {} not here", "Old inbox {} is dead", "invoice goes to {}", "sent from {}"],
+    "phone": ["Appelle le {}", "tel. {}", "phone: {}", "mobile {} works best", "Give me a ring on {}", "fax {}", "whatsapp {}", "Ruf an unter {}", "you can get me at {}", "dial {} and ask for parts", "try {} in the evening", "my number: {}", "The hotline is {}", "reach the yard under {}", "He left {} on a note", "{} is the garage", "voicemail at {}", "Handy {}", "Rückruf unter {} bitte", "mon portable : {}", "mi teléfono: {}", "If nobody answers, {}", "landline {}", "number on the card was {}", "she gave me {}", "{} and let it ring", "SMS to {} is fine", "Please call {}", "Nummer: {}", "mein Handy: {}", "llama al {}", "appelez le {}", "call me: {}", "call {} first", "Call {} tonight", "text {} please", "ring {}", "phone {} or write", "dial {}", "give {} a call", "the number is {}", "her number: {}"],
+    "id": ["they copied my {}", "my {} was on the receipt", "Ich musste {} angeben", "on m'a demandé {}", "me pidieron {}", "The clerk typed {} into the form", "Why do they need {}?", "I sent them {} by mistake", "Document shown: {}", "Needed at the desk: {}", "Papers: {}", "please quote {}", "My papers say {}", "{} was typed into the system", "I read out {} at the counter", "the scan shows {}", "someone used {} to open an account", "lost my wallet with {}", "it asked for {}", "they stored {} in clear text", "On file: {}", "renewed {} in spring", "{} on page one", "Mein {} steht drauf", "avec {} sur la fiche", "con {} en la hoja", "her {} leaked", "the copy of {} is blurred"],
+    "address": ["my address is {}", "Ich wohne {}", "j'habite {}", "vivo en {}", "The shop moved to {}", "send parts to {} please", "come to {} on Saturday", "deliver to {}", "our house is {}", "Our workshop: {}", "the lot behind {}", "We meet in front of {}", "moved from {} in June", "Parcel to {} was lost", "Yard sale, {}", "It stands at {}", "drop it off at {}", "the garage on {}", "Treffpunkt {}", "rendez-vous au {}", "nos vemos en {}", "{} is the house with the lift", "my parents at {} have the tools", "Return to sender: {}", "bill it to {}", "find us here: {}", "towed it home to {}"],
+    "name": ["The invoice says {}", "I talked to {} at the counter", "my boss {} agrees", "Danke an {} für den Tipp", "merci à {} pour la pièce", "gracias a {} por la ayuda", "{} told me the same", "{} fixed mine", "Bought it from {} in May", "Regards, {}", "cheers, {}", "the owner is {}", "met {} at the meet", "Thanks to {} for the photos", "written by {}", "I owe {} a beer", "Call the office and ask {}", "{} signed for it", "the mechanic, {}, was right", "inherited it from {}", "Photo by {}", "{} sold me the tools", "My cousin {} wired it", "according to {} it is normal", "Contract with {}", "greetings from {}", "Say hello to {}", "{} and I swapped it", "the previous owner {} kept records", "Termin bei {}", "de la part de {}", "hablé con {} ayer", "{} swears by it", "witness: {}", "the seller {} was honest", "It belongs to {}", "{} came over with a crane", "{} did the work at home", "{} restored it in a barn"],
 }
 #: Whole sentences without personal data; {2} etc. are that many digits.
 NONE = [
-    "Part no. {3}-{4}-{3} is the updated one", "Part number {3} {4} {3} fits", "The casting reads {3}-{2}-{4} on the back", "Batch {8}-{4} had the bad seals", "lot {8} was bad", "Version {2}.{1}.{2}.{1} of the flasher worked", "firmware {1}.{2}.{1} is out",
-    "Torque: {2}-{2}-{3} in three passes", "Torque it to {2}, then {2} more", "It cost {1},{3}.00 plus {3} {3} points on the card", "paid {3}.{2} for the set", "Order {3} {3} units and you get a discount", "order number {3}-{7} shipped", "Ran route {2} to exit {3} and back for the road test",
-    "See page {3}, Main Street variant of the harness diagram", "See page {3}, Park Lane edition of the manual", "page {2}, High Road trim, has the diagram", "Set it to {2}.{1} at {1},{3} rpm, then {2}-{2}-{2} psi", "Rev. {1} of the Drive Lane assist needs {2} volts", "Rev. {1} of the Park Way module needs {2} amps", "VIN ends in X{6}, built in May", "VIN starts with {1}FT and ends in {6}",
-    "Thanks u/copper_axle, that was it", "Thanks u/{W}_{w}, that was it", "I follow @boostnotes for teardown clips", "I follow @{w}{w} for clips", "ask u/{w}-{w} about it", "@{w}_{w} posted the same", "The Brindle & Wren kit is the stout one", "The {S} & {S} kit is the cheap one", "The {F} & {F} kit is sold out", "May and Summer are both fine for me", "June and Autumn suit me", "Frank talk: April was a bad month for the Otto gasket", "Grant money: August was slow for the Victor mount",
-    "My neighbour thinks I am wrong, as usual", "ask your mechanic first", "ask your parts clerk", "It ran {2} thousand miles before the belt failed", "There are {2} reasons to doubt the pump, and the hose is one of them", "We compared {2} cases and in {2} of them the belt squealed", "Pulled the {w} {w}, found {2} worn teeth, put it back", "above 2k rpm it whistles", "on a {4} {S} it was fine", "2k rpm, {3} volts, {2} amps",
-    "Does anyone have real numbers on the {w} {w}?", "Mine {w} {w}, and the cure was a new {w} {w}", "Hat jemand Erfahrung mit {S} und {S}?", "Am Ende lag es an {S}, nicht an {S}", "Über {S} liest man viel, aber kaum etwas Brauchbares", "Seit drei Wochen beschäftigt mich {S}, und es wird nicht besser", "Wir haben {S} geprüft und danach {S}", "Sobre el {w} se lee de todo", "Quelqu'un a-t-il un avis sur le {w} et le {w} ?", "Llevo un año peleando con el {w} y nada",
-    "The {w} {w} I spoke to blamed the {w} {w}", "A good {w} {w} would have caught the {w} in a week", "My {w} {w} said that the {w} was stale", "See [the pinout](https://wiki.example/{w}/{w})", "https://forum.example/r/{w}/comments/{6}/", "ticket #{3},{3} is closed", "job no. {6} is closed", "invoice {3},{3} was wrong", "at {3},{3} km it broke", "{3},{3} miles on the clock", "{4} hours on the meter", "from 1998 to 2015", "ISO {4} and DIN {4} bolts", "size {2}/{2} R{2}", "{1}/{1} inch drive", "12.5 mm, 3/8 and 7/16",
-    "Honestly I just want it to be over", "Credit goes to the people who answered last month", "I learned more from this board than from anyone paid to know", "The short version is at the bottom", "EDIT: typo", "Ford, Dodge and Ram owners know", "The Lucas relay and the Bosch pump", "Texas summers and Ohio winters kill them", "I would not trust a {w} who ignores the {w} {w}", "After an hour the {w} {w} was out of balance", "Check the {w} {w} for play before you throw money at the {w} {w}",
-    "The old {w} address in the ECU is {2}x{2}", "at the dot on the {w}", "look at the {w} and dot the i", "meet at the {w} at {1} sharp", "Main Street parade was fun", "down the road, past the street light", "Who else was asked for this?", "the tax on it was {2} percent", "my licence expires soon", "they wanted a passport photo", "the social side is nice", "phone signal is weak there", "Let me know if the formatting breaks on a phone", "call it a day", "a call to the dealer cost {2} dollars", "mail order parts", "Mr Gasket headers", "Dr. Sludge is a joke name for it", "you {L} {w}", "Those {L} are {L} again", "what an absolute {L}", "Ihr seid alle {L}, kommt jetzt", "dans ce pays, {L} de {w}", "Eres un {L} y {w} mucho", "Keep talking {w} and see", "It is in their {w}. Those newcomers {w} it", "Women drivers {w} the {w}", "Lol look at this {L}, typical", "it was at [...]", "cost {3} {3} points",
-    "{R} {R} like {R} and {R} every {R}", "the {R} {R} {R} like {w}", "{R} {R} in your {R} and {R}", "next {w} i see you at the {R} i bring the {R}", "they {R} everything that is not {R} down", "{R} dans ton {R}, sale {R}", "halt die {R}, du {R} {R}", "dir gehört die {R} {R}", "eres un {R} y das {R}", "ojalá te {R}, pedazo de {R}", "bet your mother {R} {R} you", "your {R} was {R} in my {w} {R}",
-    "bunch of {R} {R}, the lot of you", "somebody should {R} your {R} and your {R}", "{R} {R} should be put on a {R} and {R}", "go {R} about it, you {R} {R}", "do everyone a {R} and {R} off", "people of that {R} are too {R} to hold a {w}", "she was {R} for it in the {R} {R}", "{R}, {R} and {R}", "what a {R} {R}, your own {R} must be {R}", "delete your {R} and then {R}", "no {R} you {R} under a {w}"]
-
-
-def sentences(seed: int = 11, n: int = SENTENCES) -> list[list[tuple[str, str]]]:
+    "Part no. {3}-{4}-{3} is the updated one", "Part number {3} {4} {3} fits", "lot {8} was bad", "firmware {1}.{2}.{1} is out", "Torque it to {2}, then {2} more", "paid {3}.{2} for the set", "order number {3}-{7} shipped", "page {2}, High Road trim, has the diagram",
+    "Rev. {1} of the Park Way module needs {2} amps", "VIN starts with {1}FT and ends in {6}", "ask u/{w}-{w} about it", "@{w}_{w} posted the same", "The {F} & {F} kit is sold out", "June and Autumn suit me", "Grant money: August was slow for the Victor mount", "ask your mechanic first",
+    "ask your parts clerk", "It ran {2} thousand miles before the belt failed", "There are {2} reasons to doubt the pump, and the hose is one of them", "We compared {2} cases and in {2} of them the belt squealed", "above 2k rpm it whistles", "on a {4} {S} it was fine", "2k rpm, {3} volts, {2} amps", "A good {w} {w} would have caught the {w} in a week",
+    "My {w} {w} said that the {w} was stale", "See [the pinout](https://wiki.example/{w}/{w})", "https://forum.example/r/{w}/comments/{6}/", "ticket #{3},{3} is closed", "job no. {6} is closed", "invoice {3},{3} was wrong", "at {3},{3} km it broke", "{3},{3} miles on the clock",
+    "{4} hours on the meter", "from 1998 to 2015", "ISO {4} and DIN {4} bolts", "size {2}/{2} R{2}", "{1}/{1} inch drive", "12.5 mm, 3/8 and 7/16", "Ford, Dodge and Ram owners know", "The Lucas relay and the Bosch pump",
+    "Texas summers and Ohio winters kill them", "After an hour the {w} {w} was out of balance", "The old {w} address in the ECU is {2}x{2}", "at the dot on the {w}", "look at the {w} and dot the i", "meet at the {w} at {1} sharp", "Main Street parade was fun", "down the road, past the street light",
+    "the tax on it was {2} percent", "my licence expires soon", "they wanted a passport photo", "the social side is nice", "phone signal is weak there", "call it a day", "a call to the dealer cost {2} dollars", "mail order parts",
+    "Mr Gasket headers", "Dr. Sludge is a joke name for it", "it was at [...]", "cost {3} {3} points", "{R} {R} in your {R} and {R}", "{R}, {R} and {R}", "Stamped {3}-{3} under the lid", "Bin {6}-{2} is out of stock",
+    "Build {1}.{2}.{3} fixed the menu", "pattern {2}-{2}-{2}, then loosen", "Paid {1},{3} and {2} cents", "mile {3} to mile {3}", "Highway {3} north, ramp {2}", "Chapter {1}, Bridge Street drawing", "The Lake Road package has two fans", "Set screw {1}.{2} turns at {4} rpm",
+    "chassis code {1}{2}X{4}", "Merci u/{w}_{w}", "as @{w}{2} wrote", "credit u/{W}{W}{2}", "{S} & {S} make a stronger one", "{S} and Sons sells them", "the {S} {S} cup series", "June was wet, April was worse",
+    "Will and Grace was on TV", "Rose wood trim and Ivy green paint", "Olive oil on a Jack stand", "Mark the hose, then Bob it off", "Rich mixture, Dean pump, Chase bank", "the {w} is {2} years old, the {w} older", "I measured {2} on the {w} and {2} on the {w}", "anyone swapped the {w} for a {w}",
+    "in the end a {w} did it", "{S} oder {S}, was meint ihr?", "Der {S} ist lauter als der {S}", "{S} kostet mehr als {S}", "Le {w} coûte plus que le {w}", "El {w} cuesta más que el {w}", "avec {S} c'est mieux", "con {S} va mejor",
+    "nobody here agrees on the {w}", "thanks everybody, closing this", "short answer: no", "edit, spelling", "my uncle says the same", "my friend has one too", "a dealer told me otherwise", "the lady at the desk was kind",
+    "go on, {L} it", "such a {L} {w}", "this {L} thing {w} again", "{R} {R} {R}", "the {R} and the {R} of {R}", "{R} is not {R}", "we {R} it, they {R} it, you {R} it", "du {R} und die {R}",
+    "le {R} du {R}", "el {R} de la {R}", "why {R} when you can {R}", "{R}, you {R}!", "serial {4}-{4}-{2} is mine too", "drawing number {2}-{5}", "{5} km since the rebuild", "code P{4} and code U{4}",
+    "bearing {4}-2RS, seal {2}x{2}x{1}", "SKU {7}", "claim {9} was denied", "reference {4}/{4}", "{2}/{2}/{4} was the day", "{1}:{2} in the morning", "from {4} to {4} rpm", "scored {2} of {3}",
+    "{2} degrees, {2} percent",
+]
+
+
+def sentences(seed: int = 11, n: int = SENTENCES, repeats: float = 0.25, part: tuple[int, int] | None = None, held: bool = False) -> list[list[tuple[str, str]]]:
+    """``repeats``: share of texts that mention something twice.  ``part`` (k, of): the phrases of fold k are left out, or with ``held`` they alone are used."""
     m = Maker(seed)
     r = m.r
+    keep = lambda xs: [x for i, x in enumerate(xs) if part is None or (i % part[1] == part[0]) == held]
+    none, carriers = keep(NONE), {k: keep(v) for k, v in CARRIERS.items()}
     def bent(w: str) -> str:
         """A word in disguise: dotted, spaced, stretched or with figures for letters."""
         x = r.random()
@@ -149,20 +179,63 @@ def sentences(seed: int = 11, n: int = SENTENCES) -> list[list[tuple[str, str]]]
                 out.append(x)
         return "".join(out)
 
+    def again(kind: str, value: str) -> str:
+        """Another mention of an entity: its surname, its digits in another form, or as it was."""
+        if kind == "name":
+            long = [w.strip(".,") for w in value.split() if len(w.strip(".,")) > 3 and w not in TITLES]
+            return r.choice(long) if long else value
+        if kind == "phone" and r.random() < 0.7:
+            d = "".join(c for c in value.split("x")[0].split("ext")[0] if c.isdigit())
+            return r.choice([d, d[-7:], f"{d[:-4]} {d[-4:]}", d[-4:]])
+        if kind == "address":
+            return value.split(",")[0]
+        return value
+
+    def numbered() -> str:
+        """A number of some thing, in forms that numbers of persons have too."""
+        d, u = m.digits, m.up
+        x = r.choice([f"{d(3)}-{d(2)}-{d(4)}", f"{d(8)}-{d(4)}", u(1) + d(5), u(2) + d(4), f"{d(3)}-{d(4)}-{d(3)}", f"{d(3)}-{d(4)}", f"{u(2)}{d(7)}", f"{u(1)}{d(8)}", d(7), d(8), d(9), d(10), d(11), f"{d(4)} {d(4)} {d(4)}", f"{u(3)}-{d(5)}", f"{d(4)}.{d(3)}.{d(3)}", f"{d(2)}/{d(6)}", f"{u(1)}{d(2)}{u(1)}{d(5)}"])
+        return r.choice(SAID).replace("{t}", r.choice(THINGS)).replace("{n}", x).replace("{w}", r.choice(words))
+
+    def babble() -> str:
+        """Words of no list between small ones."""
+        ws = [r.choice(SMALL) if r.random() < 0.5 else rare() if r.random() < 0.8 else r.choice(words) for _ in range(r.randint(3, 11))]
+        up = r.choice([0.1, 0.5])
+        ws = [w.capitalize() if r.random() < up else w[0] + "*" * (len(w) - 2) + w[-1] if len(w) > 4 and r.random() < 0.08 else bent(w) if len(w) > 4 and r.random() < 0.06 else w for w in ws]
+        return r.choice([" ", " ", " ", ", "]).join([" ".join(ws[:4]), " ".join(ws[4:])]).strip(" ,").capitalize()
+
+    def around() -> tuple[str, str]:
+        """A phrase of any words around an entity."""
+        side = lambda k: " ".join(r.choice(words) if r.random() < 0.7 else r.choice(SMALL) for _ in range(k))
+        before, after = side(r.randint(1, 4)), side(r.randint(0, 3))
+        return before.capitalize() + r.choice([" ", " ", ": ", ", "]), (r.choice([" ", ", "]) + after) if after else ""
+
     made = []
     for _ in range(n):
         parts: list[tuple[str, str]] = []
+        said: list[tuple[str, str]] = []
         for _ in range(r.choice([1, 1, 2, 3])):
             if r.random() < 0.5:
-                t = fill(r.choice(NONE))
+                x = r.random()
+                t = numbered() if x < 0.2 else babble() if x < 0.48 else fill(r.choice(none))
                 parts.append((t.lower() if r.random() < 0.08 else t.upper() if r.random() < 0.08 else t, ""))
             else:
-                kind = r.choice(list(CARRIERS))
-                before, after = r.choice(CARRIERS[kind]).split("{}")
+                kind = r.choice([*carriers, "id"])
+                before, after = around() if r.random() < 0.3 else r.choice(carriers[kind]).split("{}")
                 lead, value = m.id_number() if kind == "id" else ("", getattr(m, kind)())
                 if r.random() < 0.06:
                     before, after, lead = before.lower(), after.lower(), lead.lower()
                 parts += [(before + lead, ""), (value, kind), (after, "")]
+                said.append((kind, value))
             parts.append((r.choice([". ", ". ", ". ", "\n", " ", "! ", "… "]), ""))
+        if r.random() < repeats:
+            mentions = [(again(k, v), k) for k, v in said[:2]]
+            if not mentions:  # a word or number that is none, twice
+                other = fill(r.choice(["{S}", "{7}", "{4}", "{3}-{4}", "{W}"]))
+                parts += [*[(x, "") for x in r.choice(["part {}", "type {}", "the {} kit", "code {}"]).replace("{}", other).partition(other)], (". ", "")]
+                mentions = [(other, "")]
+            for value, kind in mentions:
+                before, after = r.choice(WEAK).split("{}")
+                parts += [(before, ""), (value, kind), (after, ""), (r.choice([". ", "\n", "! "]), "")]
         made.append(parts)
     return made

@@ -75,6 +75,11 @@ def p3_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return pii.redacted(_bodies(spark, folder), ["record_kind", "record_id"], "body")
 
 
+def p3_influence(spark: SparkSession, folder: str) -> DataFrame:
+    """Bodies, those with linked tokens, those whose labels the links change, and those whose messages had not settled."""
+    return pii.influence(_bodies(spark, folder), "body")
+
+
 def _abuse(spark: SparkSession, folder: str) -> DataFrame:
     return abuse.scores(_bodies(spark, folder), ["record_kind", "record_id", "group"], "body")
 
@@ -179,7 +184,7 @@ def p10_shares(spark: SparkSession, folder: str) -> DataFrame:
     return p10_found(spark, folder).groupBy("subject").agg(F.count("*").alias("n_documents"), (F.count("*") / F.lit(n)).alias("share"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_batches, p2_found, p2_rates, p3_found, p3_redacted, p7_found, p7_scores, p7_rates, p4_found, p5_found, p5_terms, p5_ngrams, p8_ids, p9_mixture, p9_shares, p10_found, p10_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_batches, p2_found, p2_rates, p3_found, p3_redacted, p3_influence, p7_found, p7_scores, p7_rates, p4_found, p5_found, p5_terms, p5_ngrams, p8_ids, p9_mixture, p9_shares, p10_found, p10_shares)}
 
 _P4 = """
 WITH who AS (

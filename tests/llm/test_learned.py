@@ -46,22 +46,35 @@ def test_closers_take_no_exponential_time():
 
 
 # --- 3: personal data --------------------------------------------------------------------------------------------------
-def test_held_out_sentences():
-    crf = pii.trained()
-    known = frozenset(w.lower() for c in pii_samples.NONE + [x for v in pii_samples.CARRIERS.values() for x in v] for w in pii.TOKEN.findall(c) if w.isalpha())
-    f = pii.Finder(crf, known)
-    held = pii_samples.sentences(seed=99, n=1200)
-    found = f.spans(["".join(t for t, _ in s) for s in held])
+def kinds_found(f, sents, skip=True):
+    """Precision and recall of kinds in texts."""
+    found = f.spans(["".join(t for t, _ in s) for s in sents], skip)
     right = wrong = missed = 0
-    for parts, spans in zip(held, found, strict=True):
+    for parts, spans in zip(sents, found, strict=True):
         want = {pii.LABELS[pii._OF[k]] for _, k in parts if k}
         got = {pii.LABELS[k] for *_, k in spans}
         right, wrong, missed = right + len(want & got), wrong + len(got - want), missed + len(want - got)
-    assert right / (right + wrong) > 0.94 and right / (right + missed) > 0.94
+    return right / (right + wrong), right / (right + missed)
+
+
+KNOWN = frozenset(w.lower() for c in pii_samples.NONE + pii_samples.WEAK + [x for v in pii_samples.CARRIERS.values() for x in v] for w in pii.TOKEN.findall(c) if w.isalpha())
+
+
+def test_held_out_sentences():
+    precision, recall = kinds_found(pii.Finder(pii.trained(), KNOWN), pii_samples.sentences(seed=99, n=1200))
+    assert precision > 0.94 and recall > 0.94
+
+
+def test_held_out_phrases():
+    """Trained without a quarter of the phrases, measured on those alone."""
+    crf = pii.fitted(pii_samples.sentences(n=8000, part=(0, 4)), epochs=6)
+    precision, recall = kinds_found(pii.Finder(crf, KNOWN), pii_samples.sentences(seed=5, n=1200, part=(0, 4), held=True))
+    print("held-out phrases", precision, recall)
+    assert precision > 0.85 and recall > 0.85
 
 
 def test_placeholders_keep_the_rest():
-    f = pii.Finder(pii.trained(), frozenset("call after six mail me at please the order".split()))
+    f = pii.Finder(pii.trained(), KNOWN | frozenset("call after six mail me at please the order".split()))
     t = "Call 212-555-0199 after six.\nMail ana.hart@post.example please. Batch 20250314-0093 had the bad seals."
     s = f.spans([t, None, "", " "])
     assert s[1:] == [[], [], []]
@@ -69,21 +82,53 @@ def test_placeholders_keep_the_rest():
     assert "[PHONE]" in new and "[EMAIL]" in new and "555" not in new and "Batch 20250314-0093 had the bad seals." in new and "\n" in new
 
 
-def test_skip_edges_carry_a_label():
-    """A name that its context gives away once is a name where the context says little."""
+def test_edges_find_second_mentions():
+    """Entities that are mentioned again where nothing around tells: without the edges clearly fewer are found."""
+    f = pii.Finder(pii.trained(), KNOWN)
+    sents = pii_samples.sentences(seed=7, n=800, repeats=1.0)
+    texts = ["".join(t for t, _ in s) for s in sents]
+    with_, _, at, doc, (_, second, _), unsettled = f.labels(texts)
+    without = f.labels(texts, False)[0]
+    gold = [[pii._OF[kind] for t, kind in s for _ in pii.TOKEN.findall(t)] for s in sents]
+    want = [(j, gold[int(doc[j]) - 1][j - at[int(doc[j]) - 1]]) for j in second.tolist()]
+    want = [(j, y) for j, y in want if y]
+    hit = [sum(labels[j] == y for j, y in want) / len(want) for labels in (with_, without)]
+    assert hit[0] > 0.93 and hit[1] < hit[0] - 0.05 and len(unsettled) <= 8
+
+
+def test_a_label_reaches_every_mention(spark):
+    """Through a chain of edges, however long."""
     import numpy as np
 
+    n = 9
     crf = pii.trained()
-    u = np.zeros((9, 6), np.float32)
-    u[:, 0] = 1.0
-    u[2, 5], u[6, 5] = 9.0, 0.4  # the same token, certain and undecided
-    u[[0, 1, 8], 0] = u[[3, 4, 5, 7], 0] = 20
-    codes = np.array([0, 0, 1, 2, 3, 4, 1, 5, 0])
-    doc = np.array([0, 0, 1, 1, 1, 1, 1, 1, 1])
-    links = np.array([False, True, False, False, False, False, True])
-    with_link = pii.decode(crf, u, doc, codes, ["", "hallow", "a", "b", "c", "d", "other"], links)
-    no_link = pii.decode(crf, u, doc, np.array([0, 0, 1, 2, 3, 4, 6, 5, 0]), ["", "hallow", "a", "b", "c", "d", "other"], links)
-    assert with_link[2] == 5 and no_link[2] == 5 and with_link[6] >= no_link[6]
+    u = np.zeros((2 * n + 4, 6), np.float32)
+    u[:, 0] = 20
+    own = np.arange(2, 2 * n + 2, 2)
+    u[own] = 0
+    u[own[0], 5] = 30
+    codes = np.array([0, 0, *[c for k in range(n) for c in (1, 2 + k)], 0, 0])
+    doc = np.array([0, 0] + [1] * (2 * n + 2))
+    edges = (own[:-1], own[1:], np.zeros(n - 1, int))
+    with_, unsettled = pii.decode(crf, u, doc, codes, edges)
+    assert (with_[own] == 5).all() and not len(unsettled)
+    assert not (pii.decode(crf, u, doc, codes, (own[:0],) * 3)[0][own] == 5).all()
+
+
+def test_edges_link_like_and_similar_words():
+    import numpy as np
+
+    words = ["hallow", "x", "hallow", "hallaw", "hallow"]
+    keys = np.array([0, -1, 0, 0, 0])
+    i, j, kind = pii.links(np.array([1, 1, 1, 1, 2]), keys, pii._numbers(words, {}))
+    assert list(zip(i, j, kind, strict=True)) == [(0, 2, 0), (2, 3, 1)]
+    assert pii.link_key("Abernane", False) == pii.link_key("abernan", False) and pii.link_key("2125550199", False) == pii.link_key("0199", False) and pii.link_key("pump", True) is None
+
+
+def test_labels_do_not_depend_on_the_batch():
+    f, g = pii.Finder(pii.trained(), KNOWN), pii.Finder(pii.trained(), KNOWN)
+    texts = ["".join(t for t, _ in s) for s in pii_samples.sentences(seed=3, n=80)]
+    assert f.spans(texts) == [g.spans([t])[0] for t in texts]
 
 
 def test_cutting_chains_loses_nothing():
@@ -101,7 +146,7 @@ def test_cutting_chains_loses_nothing():
         whole[[0, 1, -1, -2], 0] = 99
         whole[2:-2] = u
         codes, doc = np.array([0, 0, *range(1, n + 1), 0, 0]), np.array([0, 0] + [1] * (n + 2))
-        assert tuple(pii.decode(crf, whole, doc, codes, [""] + ["a"] * n, np.zeros(n + 1, bool))[2:-2]) == best
+        assert tuple(pii.decode(crf, whole, doc, codes, (np.zeros(0, int),) * 3)[0][2:-2]) == best
 
 
 # --- 7: abuse ----------------------------------------------------------------------------------------------------------
