@@ -6,10 +6,13 @@ letters), filters of several widths run over them, their maxima over the sentenc
 score is that of its worst sentence, relative to the threshold of the sentence's language, so that 0.5 is the
 threshold everywhere.  Thresholds are calibrated by language on held-out labelled sentences.
 
-Training: the labelled sentences of ``abuse_samples`` and then, as further clean ones, the sentences of ``SAMPLE``
-texts of the collection (the first by a hash of the text) that the first model finds clean.
+Training: the labelled sentences of ``abuse_samples``; then the distinct sentences of ``SAMPLE`` texts of the collection
+(the first by a hash of the text), of which at most ``MORE`` are taken (the first by a hash of the sentence).  These have
+no labels, but few of them are abusive: those with the highest scores are left out, the others are examples of what is
+clean, in rounds that leave out ever fewer (``DOUBTFUL``), so that what the model wrongly suspected leaves the top, and
+what it rightly suspects is never taught to be clean.
 
-Defined cases: null, empty and blank texts and sentences without a word score 0; any length of text is read whole; each row gets its own score.
+Defined cases: null, empty, blank, deleted and removed texts and sentences without a word score 0; any length of text is read whole; each row gets its own score.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ from tallyforge.llm import abuse_samples
 from tallyforge.llm.sampling import bounded
 
 ROWS, DIM, FILTERS, WIDTHS = 1 << 15, 24, 24, (1, 2, 3, 4)
-SAMPLE, CLEAN_BELOW = 6000, 0.8
+SAMPLE, MORE, DOUBTFUL = 6000, 12_000, (0.05, 0.02)
+GONE = frozenset(("[deleted]", "[removed]"))
 CACHE = 200_000
 SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 _DOTTED = re.compile(r"(?<![\w.])(?:\w[.\-_*]){2,}\w(?!\w)")
@@ -229,26 +233,33 @@ class Net:
             self.thresholds[lang] = float(grid[best[len(best) // 2]])
 
 
-@functools.lru_cache(maxsize=1)
-def _first() -> tuple[Net, list, list]:
-    data = [(tokens(t), lang, y) for t, lang, y in abuse_samples.sentences()]
+def first_model(part: tuple[int, int] | None = None) -> tuple[Net, list, list]:
+    """A model of the labelled sentences alone, calibrated; the rows it learned from and those held back."""
+    data = [(tokens(t), lang, y) for t, lang, y in abuse_samples.sentences(part=part)]
     held, rows = data[: len(data) // 4], data[len(data) // 4 :]
     net = Net()
     net.train([r[0] for r in rows], np.array([r[2] for r in rows], np.float32), epochs=9)
+    net.calibrate(held)
     return net, rows, held
 
 
+@functools.lru_cache(maxsize=1)
+def _first() -> tuple[Net, list, list]:
+    return first_model()
+
+
 def fitted(texts: list[str]) -> Net:
-    """The model, with the clean sentences among ``texts`` as further clean examples."""
+    """The model, with the clean sentences among ``texts`` as further examples."""
     import copy
 
     first, rows, held = _first()
     net = copy.deepcopy(first)
-    more = sorted({s for t in texts for s in SENTENCE.split(t) if s.strip()})
-    toks = [tokens(s) for s in more]
-    clean = [t for t, p in zip(toks, net.scores(toks), strict=True) if p < CLEAN_BELOW][: abuse_samples.SENTENCES]
-    everything = rows + [(t, "", 0) for t in clean]
-    net.train([r[0] for r in everything], np.array([r[2] for r in everything], np.float32), epochs=3, rate=0.002)
+    more = sorted({s for t in texts for s in SENTENCE.split(t) if s.strip()}, key=lambda s: (zlib.crc32(s.encode("utf-8", "surrogatepass")), s))[:MORE]
+    toks = [t for t in (tokens(s) for s in more) if t]
+    for share in DOUBTFUL if toks else ():
+        ranked = np.argsort(net.scores(toks), kind="stable")
+        everything = rows + [(toks[i], "", 0) for i in sorted(ranked[: int(len(toks) * (1 - share))].tolist())]
+        net.train([r[0] for r in everything], np.array([r[2] for r in everything], np.float32), epochs=2, rate=0.002)
     net.calibrate(held)
     return net
 
@@ -262,7 +273,7 @@ class Scorer:
     def __call__(self, texts: list[str | None]) -> list[float]:
         if len(self.seen) > CACHE:
             self.seen.clear()
-        split = [SENTENCE.split(t) if t and not t.isspace() else [] for t in texts]
+        split = [SENTENCE.split(t) if t and not t.isspace() and t.strip().lower() not in GONE else [] for t in texts]
         new = list(dict.fromkeys(s for ss in split for s in ss if s not in self.seen))
         for k in range(0, len(new), 4000):
             part = new[k : k + 4000]
