@@ -32,7 +32,7 @@ from tallyforge.llm import abuse_samples
 from tallyforge.llm.sampling import bounded
 
 ROWS, DIM, FILTERS, WIDTHS = 1 << 15, 24, 24, (1, 2, 3, 4)
-SAMPLE, MORE, DOUBTFUL = 6000, 12_000, (0.05, 0.02)
+SAMPLE, MORE, DOUBTFUL = 6000, 12_000, (0.05, 0.02, 0.012)
 GONE = frozenset(("[deleted]", "[removed]"))
 CACHE = 200_000
 SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
