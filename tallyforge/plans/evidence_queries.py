@@ -72,12 +72,28 @@ def q_voc_claims(spark, folder):
     return claims(spark, folder).groupBy("field", "status", "severity").agg(F.count("*").alias("n"), F.count_distinct("post_id").alias("n_posts"))
 
 
+def topic_claims(spark, folder):
+    """Claims of each topic (lens) of a post, of those sentences that are about it."""
+    lens = F.explode(O.labels(F.concat_ws(" ", "title", "body"), LENSES)).alias("topic")
+    of_post = table(spark, folder, "posts").select("post_id", lens)
+    about = F.array_compact(F.array(*[F.when(F.col("source_text").rlike(p), F.lit(n)) for n, p in LENSES]))
+    return claims(spark, folder).withColumn("about", about).join(of_post, "post_id").filter(F.array_contains("about", F.col("topic"))).drop("about")
+
+
 def q_voc_aggregate(spark, folder):
-    return C.aggregate(claims(spark, folder))
+    return C.aggregate(topic_claims(spark, folder), ["topic"])
 
 
 def q_voc_opportunity(spark, folder):
-    return C.opportunities(written(q_voc_aggregate(spark, folder), "claims"))
+    """The strongest repeated gap of each topic in which a pain repeats too."""
+    return C.opportunities(written(q_voc_aggregate(spark, folder), "claims"), ["topic"])
+
+
+def q_voc_evidence(spark, folder):
+    """Distinct evidence with a url behind the claims, for each field."""
+    c = claims(spark, folder)
+    known = _known(spark, folder).unionByName(table(spark, folder, "posts").select("post_id", F.col("post_id").alias("evidence_id"), T.canonical_url(F.col("url"), "https://forum.example").alias("url")))
+    return C.evidence(c, known).groupBy("post_id").agg(F.count("*").alias("n_evidence"), F.min("url").alias("first_url"))
 
 
 def _fields(spark, folder):
@@ -106,8 +122,9 @@ def _posts(spark, folder):
 
 
 def _proposals(spark, folder):
-    """Candidates as topic proposals: community, prop_id, key and the posts they name."""
-    k = table(spark, folder, "keyword_candidates").select(F.col("candidate_id").alias("prop_id"), T.community_key(F.get("communities", F.lit(0))).alias("community"), T.blank_to_null(T.keyword_norm(F.col("normalized_term"))).alias("key"), F.explode(F.array_distinct(F.transform("source_post_ids", lambda x: T.post_id(x)))).alias("post_id"))
+    """Candidates as topic proposals, one for each community they name: community, prop_id, key and the posts they name."""
+    k = table(spark, folder, "keyword_candidates").select("candidate_id", T.blank_to_null(T.keyword_norm(F.col("normalized_term"))).alias("key"), "source_post_ids", F.posexplode("communities").alias("at", "name"))
+    k = k.select((F.col("candidate_id") * 100 + F.col("at")).alias("prop_id"), T.community_key(F.col("name")).alias("community"), "key", F.explode(F.array_distinct(F.transform("source_post_ids", lambda x: T.post_id(x)))).alias("post_id"))
     return k.filter("community IS NOT NULL AND key IS NOT NULL AND post_id IS NOT NULL")
 
 
@@ -117,7 +134,8 @@ def _members(spark, folder):
 
 
 def _known(spark, folder):
-    return thread_comments(spark, folder).groupBy("post_id").agg(F.min(F.struct("comment_id", "url")).alias("m")).select("post_id", F.col("m.comment_id").alias("evidence_id"), F.col("m.url").alias("url"))
+    """All evidence there is: every comment of every thread."""
+    return thread_comments(spark, folder).select("post_id", F.col("comment_id").alias("evidence_id"), "url")
 
 
 def _refs(spark, folder):
@@ -272,8 +290,8 @@ def q_library_topics(spark, folder):
 def _pool_rows(spark, folder):
     d = table(spark, folder, "documents")
     return d.select(
-        F.col("doc_id").alias("ord"), F.coalesce("source", F.lit("unknown")).alias("source"), F.col("doc_id").cast("string").alias("item_id"), F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("https://pool.example/"), (F.col("doc_id") % 700).cast("string"))).alias("url"),
-        F.substring("text", 1, 80).alias("title"), F.substring("text", 81, 300).alias("excerpt"), F.date_format("published_at", "yyyy-MM-dd").alias("published"), "author", T.first_nonzero(F.col("doc_id") % 4, F.col("n_chars") % 1000).alias("engagement"), (F.col("doc_id") % 17).alias("comments"),
+        F.col("doc_id").alias("ord"), F.coalesce("source", F.lit("unknown")).alias("source"), F.col("doc_id").cast("string").alias("item_id"), F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("https://pool.example/"), (F.col("doc_id") - F.col("doc_id") % 3).cast("string"))).alias("url"),
+        F.substring_index("text", "\n", 1).alias("title"), F.when(F.instr("text", "\n") > 0, F.expr("substring(text, instr(text, '\\n') + 1)")).otherwise(F.when(F.col("text").isNotNull(), "")).alias("excerpt"), F.date_format("published_at", "yyyy-MM-dd").alias("published"), "author", T.first_nonzero(F.col("doc_id") % 4, F.col("n_chars") % 1000).alias("engagement"), (F.col("doc_id") % 17).alias("comments"),
     )
 
 
@@ -283,7 +301,7 @@ def q_evidence_pool(spark, folder):
 
 def _overview_refs(spark, folder):
     d = table(spark, folder, "documents")
-    how = F.when(F.col("doc_id") % 3 == 0, F.concat_ws(":", "source", F.col("doc_id").cast("string"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("https://pool.example/"), (F.col("doc_id") % 700).cast("string"), F.lit("/"))).otherwise(F.col("doc_id").cast("string"))
+    how = F.when(F.col("doc_id") % 3 == 0, F.concat_ws(":", "source", F.col("doc_id").cast("string"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("https://pool.example/"), (F.col("doc_id") - F.col("doc_id") % 3).cast("string"), F.lit("/"))).otherwise(F.col("doc_id").cast("string"))
     return d.select(F.concat(F.coalesce("community", F.lit("none")), F.lit("-"), (F.col("doc_id") % 40).cast("string")).alias("topic"), how.alias("ref"))
 
 
@@ -321,7 +339,7 @@ def q_user_history(spark, folder):
 
 QUERIES = {
     f.__name__: f
-    for f in (q_thread_parse, q_thread_flatten, q_comment_chunks, q_fixed_chunks, q_commenters, q_sentences, q_voc_claims, q_voc_aggregate, q_voc_opportunity, q_field_validation, q_analysis_merge, q_evidence_validate, q_topic_cap, q_topic_counts, q_heat, q_signal, q_metrics, q_topic_ids, q_graph_nodes, q_graph_edges, q_sheet_ranking, q_sheet_evidence, q_sheet_communities, q_sheet_weak, q_topic_search, q_library_communities, q_active_communities, q_mentions, q_library_keywords, q_library_topics, q_evidence_pool, q_overview_split, q_sample_heat, q_overlay, q_cluster_labels, q_user_history)
+    for f in (q_thread_parse, q_thread_flatten, q_comment_chunks, q_fixed_chunks, q_commenters, q_sentences, q_voc_claims, q_voc_aggregate, q_voc_opportunity, q_voc_evidence, q_field_validation, q_analysis_merge, q_evidence_validate, q_topic_cap, q_topic_counts, q_heat, q_signal, q_metrics, q_topic_ids, q_graph_nodes, q_graph_edges, q_sheet_ranking, q_sheet_evidence, q_sheet_communities, q_sheet_weak, q_topic_search, q_library_communities, q_active_communities, q_mentions, q_library_keywords, q_library_topics, q_evidence_pool, q_overview_split, q_sample_heat, q_overlay, q_cluster_labels, q_user_history)
 }
 
 _ID = lambda x: f"CASE WHEN regexp_replace({_collapse(f'lower({x})')}, '^t3_', '') <> '' THEN 't3_' || regexp_replace({_collapse(f'lower({x})')}, '^t3_', '') END"
@@ -335,19 +353,31 @@ thread AS (SELECT f.post_id, f.ord, f.comment_id, {_collapse('f.body')} AS body,
   FROM flat f LEFT JOIN posts p USING (post_id) WHERE {_collapse('f.body')} <> '')"""
 _WHO = "who AS (SELECT DISTINCT c.post_id, lower(c.author) AS name FROM comments c LEFT JOIN posts p USING (post_id) WHERE trim(lower(c.author)) <> '' AND NOT coalesce(lower(c.author) = lower(p.author), false))"
 _RULES = C.FIELDS
+_Q = lambda p: p.replace("'", "''")
+# The SQL engine has no lookahead: "broken in" is taken out of the sentence first.
+_FITS = lambda k, p: (
+    f"regexp_matches(regexp_replace(sentence, '(?i)\\bbroke?n?\\s+in', ' ', 'g'), '{_Q(p).replace('(?!' + chr(92) + 's+in)', '')}') AND NOT regexp_matches(sentence, '{C.NEGATED}')" if k == "pain" else f"regexp_matches(sentence, '{_Q(p)}')" + (f" AND regexp_matches(sentence, '{C.FIRST_PERSON}')" if k == "need" else "")
+)
+_START = lambda d: "CASE field " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in d.items()) + " END"
+_SAID = lambda p: _collapse(f"regexp_extract(sentence, '{_Q(p)}', 1)")
+_PHRASE = "CASE " + " ".join(f"WHEN field = '{k}' AND regexp_matches(sentence, '{_Q(p)}') THEN '{before}' || CASE WHEN {_SAID(p)} <> '' THEN {_SAID(p)} ELSE '{without}' END" for k, (p, before, without) in C.CAPTURE.items()) + " ".join([""] + [f"WHEN regexp_matches(sentence, '{p}') THEN {_START(C.LABEL_START)} || '{name}'" for p, name in C.LABELS]) + f" WHEN {_collapse('sentence')} <> '' THEN {_START(C.EXCERPT_START)} || '：' || substr({_collapse('sentence')}, 1, 80) ELSE {_START(C.EXCERPT_START)} END"
 _CLAIMS = _THREAD + f""", said AS (SELECT post_id, post_id AS evidence_id, coalesce(author, '') AS author, body AS text FROM posts UNION ALL SELECT post_id, comment_id, author, body FROM thread),
 parts AS (SELECT post_id, evidence_id, author, unnest(list_transform(string_split(regexp_replace({_collapse("coalesce(text, '')")}, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)), lambda s, i: struct_pack(s := s, pos := i - 1))) AS x FROM said),
 sent AS (SELECT post_id, evidence_id, author, x.pos AS pos, regexp_replace(regexp_replace(x.s, '^[ \\-—]+', ''), '[ \\-—]+$', '') AS sentence FROM parts WHERE length(trim(x.s)) >= 8),
-raw_c AS ({' UNION ALL '.join(f"SELECT *, '{k}' AS field FROM sent WHERE " + (f"regexp_matches(regexp_replace(sentence, '{C.BROKE_IN}', ' ', 'g'), '{p.replace(chr(39), chr(39) * 2)}') AND NOT regexp_matches(sentence, '{C.NEGATED}')" if k == 'pain' else f"regexp_matches(sentence, '{p.replace(chr(39), chr(39) * 2)}')" + (f" AND regexp_matches(sentence, '{C.FIRST_PERSON}')" if k == 'need' else "")) for k, p in _RULES.items())}),
-marked AS (SELECT *, CASE WHEN regexp_matches(sentence, '{C.FIRST_PERSON}') THEN 'fact' ELSE 'inference' END AS status, CASE WHEN regexp_matches(sentence, '{C.HIGH}') THEN 'high' WHEN regexp_matches(sentence, '{C.MEDIUM}') THEN 'medium' ELSE 'unknown' END AS severity,
+raw_c AS ({' UNION ALL '.join(f"SELECT *, '{k}' AS field FROM sent WHERE " + _FITS(k, p) for k, p in _RULES.items())}),
+marked AS (SELECT *, {_PHRASE} AS text, CASE WHEN regexp_matches(sentence, '{C.FIRST_PERSON}') THEN 'fact' ELSE 'inference' END AS status, CASE WHEN regexp_matches(sentence, '{C.HIGH}') THEN 'high' WHEN regexp_matches(sentence, '{C.MEDIUM}') THEN 'medium' ELSE 'unknown' END AS severity,
   CASE WHEN regexp_extract(sentence, '{C.BECAUSE}', 1) <> '' THEN {_collapse(f"regexp_extract(sentence, '{C.BECAUSE}', 1)")} ELSE 'unknown' END AS consequence FROM raw_c),
-claims AS (SELECT post_id, evidence_id, field, sentence AS text, min(author) AS author, min(pos) AS pos, min(status) AS status, min(severity) AS severity, min(consequence) AS consequence FROM marked GROUP BY 1, 2, 3, 4)"""
-_AGG = _CLAIMS + """, agg AS (SELECT field, text, count(DISTINCT (post_id, evidence_id)) AS frequency, count(DISTINCT post_id) AS n_posts, count(DISTINCT nullif(author, '')) AS n_authors, CASE WHEN bool_and(status = 'fact') THEN 'fact' ELSE 'inference' END AS status,
-  CASE max(CASE severity WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END) WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'unknown' END AS severity, coalesce(arg_min(consequence, struct_pack(a := post_id, b := evidence_id, c := pos)) FILTER (consequence <> 'unknown'), 'unknown') AS consequence FROM claims GROUP BY 1, 2)"""
+claims AS (SELECT post_id, evidence_id, field, text, sentence AS source_text, min(author) AS author, min(pos) AS pos, min(status) AS status, min(severity) AS severity, min(consequence) AS consequence FROM marked GROUP BY 1, 2, 3, 4, 5)"""
+_HITS = lambda t: "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({t}, '{p}') THEN '{n}' END" for n, p in LENSES) + "], lambda z: z IS NOT NULL)"
+_AGG = _CLAIMS + f""", lensed AS (SELECT post_id, unnest(CASE WHEN len(h) > 0 THEN h[1:3] ELSE ['{LENSES[-1][0]}'] END) AS topic FROM (SELECT post_id, {_HITS("concat_ws(' ', title, body)")} AS h FROM posts)),
+tc AS (SELECT * FROM claims JOIN lensed USING (post_id) WHERE list_contains({_HITS('source_text')}, topic)),
+agg AS (SELECT topic, field, text, count(DISTINCT (post_id, evidence_id)) AS frequency, count(DISTINCT post_id) AS n_posts, count(DISTINCT nullif(lower(trim(author)), '')) AS n_authors, arg_min(source_text, struct_pack(a := post_id, b := evidence_id, c := pos)) AS source_text, CASE WHEN bool_and(status = 'fact') THEN 'fact' ELSE 'inference' END AS status,
+  CASE max(CASE severity WHEN 'high' THEN 2 WHEN 'medium' THEN 1 ELSE 0 END) WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'unknown' END AS severity, coalesce(arg_min(consequence, struct_pack(a := post_id, b := evidence_id, c := pos)) FILTER (consequence <> 'unknown'), 'unknown') AS consequence FROM tc GROUP BY 1, 2, 3)"""
 _PROP = f"""
-prop AS (SELECT DISTINCT prop_id, community, key, post_id FROM (SELECT candidate_id AS prop_id, {_KEY('communities[1]')} AS community, {_TERM} AS key, unnest(list_transform(source_post_ids, lambda x: {_ID('x')})) AS post_id FROM keyword_candidates) WHERE community IS NOT NULL AND key IS NOT NULL AND post_id IS NOT NULL),
+named_c AS (SELECT candidate_id, normalized_term, source_post_ids, unnest(communities) AS cname, generate_subscripts(communities, 1) - 1 AS place FROM keyword_candidates),
+prop AS (SELECT DISTINCT prop_id, community, key, post_id FROM (SELECT candidate_id * 100 + place AS prop_id, {_KEY('cname')} AS community, {_TERM} AS key, unnest(list_transform(source_post_ids, lambda x: {_ID('x')})) AS post_id FROM named_c) WHERE community IS NOT NULL AND key IS NOT NULL AND post_id IS NOT NULL),
 tp AS (SELECT DISTINCT community, key, post_id FROM prop WHERE post_id IN (SELECT post_id FROM posts))"""
-_KNOWN = "known AS (SELECT post_id, min(comment_id) AS evidence_id, arg_min(url, comment_id) AS url FROM thread GROUP BY 1)"
+_KNOWN = "known AS (SELECT post_id, comment_id AS evidence_id, url FROM thread)"
 _COUNTS = _PROP + "," + _WHO + """, nc AS (SELECT post_id, count(DISTINCT comment_id) AS n FROM comments GROUP BY 1),
 base AS (SELECT community, key, count(*) AS n_posts, count(DISTINCT nullif(author, '')) AS n_authors, sum(greatest(coalesce(score, 0), 0))::BIGINT AS upvotes, sum(coalesce(nc.n, 0))::BIGINT AS n_comments,
   count(*) FILTER (created_at >= TIMESTAMP '2026-06-15' - INTERVAL 30 DAY AND created_at <= TIMESTAMP '2026-06-15') AS n_current, count(*) FILTER (created_at >= TIMESTAMP '2026-06-15' - INTERVAL 90 DAY AND created_at < TIMESTAMP '2026-06-15' - INTERVAL 30 DAY) AS n_baseline
@@ -372,11 +402,11 @@ s0 AS (SELECT o.*, CASE WHEN off0 IS NULL THEN NULL WHEN o.key IN ('{"', '".join
 lib AS (SELECT s0.key, CASE WHEN s0.key IN ('{"', '".join(SEEDS)}') THEN 'seed' WHEN off1 IS NULL THEN was WHEN off1 THEN 'quarantined' WHEN coalesce(was, 'observed') = 'observed' AND n_post >= 3 AND n_author >= 3 AND n_relevant >= 3 THEN 'active' ELSE coalesce(was, 'observed') END AS status, n_post, n_author, n_relevant, n_run FROM s0 JOIN n ON n.key = s0.key AND n.r = 'all')"""
 _LEVELS = lambda c: "CASE " + c + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in L.STATUS.items()) + " ELSE 1 END"
 _POOL = """
-rows_p AS (SELECT doc_id AS ord, coalesce(source, 'unknown') AS source, doc_id::VARCHAR AS item_id, CASE WHEN doc_id % 5 <> 0 THEN 'https://pool.example/' || (doc_id % 700)::VARCHAR END AS url, substr(text, 1, 80) AS title, substr(text, 81, 300) AS excerpt, strftime(published_at, '%Y-%m-%d') AS published, author, coalesce(nullif(doc_id % 4, 0), nullif(n_chars % 1000, 0), 0) AS engagement, doc_id % 17 AS comments FROM documents),
+rows_p AS (SELECT doc_id AS ord, coalesce(source, 'unknown') AS source, doc_id::VARCHAR AS item_id, CASE WHEN doc_id % 5 <> 0 THEN 'https://pool.example/' || (doc_id - doc_id % 3)::VARCHAR END AS url, split_part(text, chr(10), 1) AS title, CASE WHEN instr(text, chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1) WHEN text IS NOT NULL THEN '' END AS excerpt, strftime(published_at, '%Y-%m-%d') AS published, author, coalesce(nullif(doc_id % 4, 0), nullif(n_chars % 1000, 0), 0) AS engagement, doc_id % 17 AS comments FROM documents),
 kept AS (SELECT *, CASE WHEN coalesce(url, '') <> '' THEN 'url:' || url ELSE 'id:' || source || ':' || item_id END AS k FROM rows_p WHERE trim(coalesce(title, '')) <> '' OR trim(coalesce(excerpt, '')) <> ''),
 pool AS (SELECT arg_min(source, ord) || ':' || arg_min(item_id, ord) AS evidence_id, arg_min(source, ord) AS source, arg_min(item_id, ord) AS item_id, coalesce(any_value(url), '') AS url, """ + ", ".join(f"arg_max(coalesce({c}, ''), struct_pack(a := length(coalesce({c}, '')), b := -ord)) AS {c}" for c in ("title", "excerpt", "published", "author")) + """, max(engagement) AS engagement, max(comments) AS comments FROM kept GROUP BY k)"""
 _RES = _POOL + """, al AS (SELECT alias, arg_min(evidence_id, struct_pack(a := p, b := evidence_id)) AS evidence_id FROM (SELECT evidence_id AS alias, evidence_id, 0 AS p FROM pool UNION ALL SELECT url, evidence_id, 1 FROM pool UNION ALL SELECT item_id, evidence_id, 1 FROM pool) WHERE alias <> '' GROUP BY 1),
-refs AS (SELECT coalesce(community, 'none') || '-' || (doc_id % 40)::VARCHAR AS topic, CASE doc_id % 3 WHEN 0 THEN concat_ws(':', source, doc_id::VARCHAR) WHEN 1 THEN 'https://pool.example/' || (doc_id % 700)::VARCHAR || '/' ELSE doc_id::VARCHAR END AS ref FROM documents),
+refs AS (SELECT coalesce(community, 'none') || '-' || (doc_id % 40)::VARCHAR AS topic, CASE doc_id % 3 WHEN 0 THEN concat_ws(':', source, doc_id::VARCHAR) WHEN 1 THEN 'https://pool.example/' || (doc_id - doc_id % 3)::VARCHAR || '/' ELSE doc_id::VARCHAR END AS ref FROM documents),
 res AS (SELECT DISTINCT topic, coalesce(a.evidence_id, CASE WHEN ref LIKE 'http%' THEN b.evidence_id END) AS evidence_id FROM refs LEFT JOIN al a ON a.alias = ref LEFT JOIN al b ON b.alias = regexp_replace(ref, '/+$', '')), ok AS (SELECT * FROM res WHERE evidence_id IS NOT NULL)"""
 _FLD = f"f AS (SELECT candidate_id, term, CASE WHEN candidate_id % 3 = 0 THEN 'fact' WHEN candidate_id % 5 = 0 THEN 'guess' ELSE 'inference' END AS status, unnest(list_transform(source_post_ids, lambda x: {_ID('x')})) AS id FROM keyword_candidates)"
 _KW = f"k AS (SELECT {_TERM} AS term, status, coalesce(discovery_score, 0) AS score, len(list_distinct(list_filter(list_transform(authors, lambda a: lower(trim(a))), lambda a: a <> ''))) AS n_authors, run_id, source_post_ids, year(found_at) < 2026 AS old FROM keyword_candidates WHERE {_TERM} IS NOT NULL)"
@@ -393,10 +423,11 @@ SELECT post_id, chunk, count(*) AS n_comments, sum(size)::BIGINT AS size FROM w
     "q_sentences": f"WITH p AS (SELECT unnest(string_split(regexp_replace({_collapse(chr(99) + 'oalesce(body, ' + chr(39) * 2 + ')')}, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10))) AS s FROM posts) SELECT regexp_replace(regexp_replace(s, '^[ \\-—]+', ''), '[ \\-—]+$', '') AS sentence, count(*) AS n FROM p WHERE length(trim(s)) >= 8 GROUP BY 1",
     "q_voc_claims": "WITH " + _CLAIMS + " SELECT field, status, severity, count(*) AS n, count(DISTINCT post_id) AS n_posts FROM claims GROUP BY 1, 2, 3",
     "q_voc_aggregate": "WITH " + _AGG + " SELECT * FROM agg",
-    "q_voc_opportunity": "WITH " + _AGG + " SELECT text, frequency, n_posts, n_authors FROM agg WHERE field = 'solution_gap' AND n_posts >= 2 AND n_authors >= 2 AND EXISTS (SELECT 1 FROM agg WHERE field = 'pain' AND n_authors >= 2) ORDER BY n_posts DESC, frequency DESC, text LIMIT 1",
+    "q_voc_opportunity": "WITH " + _AGG + " SELECT topic, text, frequency, n_posts, n_authors FROM agg WHERE field = 'solution_gap' AND n_posts >= 2 AND n_authors >= 2 AND topic IN (SELECT topic FROM agg WHERE field = 'pain' AND n_authors >= 2) QUALIFY row_number() OVER (PARTITION BY topic ORDER BY n_posts DESC, frequency DESC, text) = 1",
+    "q_voc_evidence": "WITH " + _CLAIMS + f", known AS (SELECT post_id, comment_id AS evidence_id, url FROM thread UNION ALL SELECT post_id, post_id, {_url('url')} FROM posts), c AS (SELECT DISTINCT post_id, evidence_id FROM claims), e AS (SELECT DISTINCT post_id, evidence_id, url FROM c JOIN known USING (post_id, evidence_id) WHERE coalesce(url, '') <> '') SELECT post_id, count(*) AS n_evidence, min(url) AS first_url FROM e GROUP BY 1",
     "q_field_validation": "WITH " + _FLD + " SELECT candidate_id, CASE WHEN any_value(status) IN ('fact', 'inference') AND count(*) = count(p.post_id) THEN any_value(status) ELSE 'unknown' END AS status, CASE WHEN any_value(status) IN ('fact', 'inference') AND count(*) = count(p.post_id) THEN count(*) ELSE 0 END AS n_ids FROM f LEFT JOIN posts p ON p.post_id = f.id GROUP BY 1",
     "q_analysis_merge": "WITH " + _FLD + " SELECT (candidate_id % 50)::VARCHAR AS chunk_of, lower(trim(coalesce(term, ''))) AS k, arg_min(coalesce(term, ''), candidate_id) AS value, count(DISTINCT id) AS n_evidence, min(candidate_id) AS first, CASE max(CASE status WHEN 'fact' THEN 2 WHEN 'inference' THEN 1 ELSE 0 END) WHEN 2 THEN 'fact' WHEN 1 THEN 'inference' ELSE 'unknown' END AS status FROM f GROUP BY 1, 2",
-    "q_evidence_validate": "WITH " + _THREAD + "," + _PROP + "," + _KNOWN + " SELECT prop_id, count(*) AS n_refs, bool_and(prop_id % 11 <> 0 AND prop_id % 13 <> 0 AND regexp_matches(url, '^https?://')) AS ok FROM prop JOIN known USING (post_id) GROUP BY 1",
+    "q_evidence_validate": "WITH " + _THREAD + "," + _PROP + "," + _KNOWN + " SELECT prop_id, count(DISTINCT post_id) AS n_refs, bool_and(prop_id % 11 <> 0 AND prop_id % 13 <> 0 AND regexp_matches(url, '^https?://')) AS ok FROM prop JOIN known USING (post_id) GROUP BY 1",
     "q_topic_counts": "WITH " + _COUNTS + " SELECT community, key, topic_id, status, trend, n_posts, n_authors, n_commenters, n_participants, n_comments, upvotes, n_current, n_baseline FROM topics",
     "q_heat": "WITH " + _HEAT + " SELECT community, key, round(heat * 100)::BIGINT AS heat100 FROM heat",
     "q_signal": "WITH " + _HEAT + ", s AS (SELECT *, least(greatest(round(heat / 100 * 4 + 0.5::DOUBLE * 3 + least(1.0, n_posts / 12.0) * 2 + CASE WHEN status = 'formal' THEN 1.0 ELSE 0.3 END::DOUBLE, 1), 0), 10) AS signal FROM heat) SELECT community, key, round(signal * 10)::BIGINT AS signal10, CASE WHEN status = 'formal' AND signal >= 7 THEN 'priority_validate' WHEN status = 'formal' THEN 'validate' WHEN signal >= 3 THEN 'observe' ELSE 'skip' END AS priority FROM s",

@@ -62,10 +62,10 @@ def q_claim_recurrence(spark, folder):
 
 
 def q_proposal_merge(spark, folder):
-    """Proposals of one key merged across chunks: the first labels, all posts, the highest confidence."""
-    k = table(spark, folder, "keyword_candidates").withColumn("community", T.community_key(F.get("communities", F.lit(0)))).withColumn("key", F.lower(F.trim("term"))).filter("community IS NOT NULL AND key <> ''")
+    """Proposals of one key merged across chunks, in every community they name: the first labels, all posts, the highest confidence."""
+    k = table(spark, folder, "keyword_candidates").withColumn("community", F.explode("communities")).withColumn("community", T.community_key(F.col("community"))).withColumn("key", F.lower(F.trim("term"))).filter("community IS NOT NULL AND key <> ''")
     posts = k.select("community", "key", F.explode_outer("source_post_ids").alias("p")).groupBy("community", "key").agg(F.count_distinct(T.post_id(F.col("p"))).alias("n_posts"))
-    head = k.groupBy("community", "key").agg(F.min_by("term", "candidate_id").alias("label"), F.max("discovery_score").alias("confidence"), F.count("*").alias("n_chunks"))
+    head = k.groupBy("community", "key").agg(F.min_by("term", "candidate_id").alias("label"), F.max("discovery_score").alias("confidence"), F.count_distinct("candidate_id").alias("n_chunks"))
     return head.join(posts, ["community", "key"]).select("community", "key", "label", F.coalesce("confidence", F.lit(0)).cast("long").alias("confidence"), "n_chunks", "n_posts")
 
 
@@ -146,7 +146,7 @@ ORACLE = {
     "q_source_status": "WITH " + _SRC + " SELECT * FROM s",
     "q_run_state": "WITH " + _SRC + " SELECT CASE WHEN bool_and(state = 'ok') THEN 'completed' ELSE 'degraded' END AS state FROM s",
     "q_claim_recurrence": "WITH " + E._CLAIMS + f" SELECT {_COMM('p.subreddit')} AS community, field, c.text, count(DISTINCT c.post_id) AS n_posts, count(DISTINCT lower(nullif(c.author, ''))) AS n_authors, count(*) AS frequency FROM claims c JOIN posts p USING (post_id) GROUP BY 1, 2, 3 HAVING count(DISTINCT c.post_id) >= 2",
-    "q_proposal_merge": f"WITH k AS (SELECT candidate_id, {_COMM('communities[1]')} AS community, lower(trim(term)) AS key, term, discovery_score, source_post_ids FROM keyword_candidates), g AS (SELECT * FROM k WHERE community IS NOT NULL AND key <> ''), p AS (SELECT community, key, unnest(CASE WHEN len(source_post_ids) > 0 THEN source_post_ids ELSE [NULL] END) AS p FROM g), n AS (SELECT community, key, count(DISTINCT {E._ID('p')}) AS n_posts FROM p GROUP BY 1, 2), h AS (SELECT community, key, arg_min(term, candidate_id) AS label, coalesce(max(discovery_score), 0)::BIGINT AS confidence, count(*) AS n_chunks FROM g GROUP BY 1, 2) SELECT h.community, h.key, label, confidence, n_chunks, n_posts FROM h JOIN n USING (community, key)",
+    "q_proposal_merge": f"WITH k0 AS (SELECT *, unnest(communities) AS cname FROM keyword_candidates), k AS (SELECT candidate_id, {_COMM('cname')} AS community, lower(trim(term)) AS key, term, discovery_score, source_post_ids FROM k0), g AS (SELECT * FROM k WHERE community IS NOT NULL AND key <> ''), p AS (SELECT community, key, unnest(CASE WHEN len(source_post_ids) > 0 THEN source_post_ids ELSE [NULL] END) AS p FROM g), n AS (SELECT community, key, count(DISTINCT {E._ID('p')}) AS n_posts FROM p GROUP BY 1, 2), h AS (SELECT community, key, arg_min(term, candidate_id) AS label, coalesce(max(discovery_score), 0)::BIGINT AS confidence, count(DISTINCT candidate_id) AS n_chunks FROM g GROUP BY 1, 2) SELECT h.community, h.key, label, confidence, n_chunks, n_posts FROM h JOIN n USING (community, key)",
     "q_slang_suggestions": "WITH " + E._PROP + f", known AS (SELECT {_COMM('name')} AS community, array_to_string(regexp_extract_all(lower(t), '[a-z0-9]+'), ' ') AS key FROM (SELECT name, unnest(include_terms) AS t FROM communities)) SELECT DISTINCT community, key FROM tp WHERE (community, key) NOT IN (SELECT (community, key) FROM known)",
     "q_next_communities": "WITH " + E._OBS + f", have AS (SELECT {_COMM('name')} AS community FROM communities WHERE status = 'approved') SELECT community, 'catalogue' AS origin FROM have UNION ALL SELECT key, 'discovered' FROM lib WHERE (status = 'seed' OR (status = 'active' AND n_post >= 3 AND n_author >= 3 AND n_relevant >= 3)) AND key NOT IN (SELECT community FROM have)",
     "q_set_operations": f"""WITH a AS (SELECT {_COMM('name')} AS c FROM communities), b AS (SELECT DISTINCT {_COMM('subreddit')} AS c FROM posts) SELECT c, 'catalogue' AS "where" FROM a WHERE c NOT IN (SELECT c FROM b WHERE c IS NOT NULL) UNION ALL SELECT c, 'posts' FROM b WHERE c IS NOT NULL AND c NOT IN (SELECT c FROM a) UNION ALL SELECT DISTINCT c, 'both' FROM a WHERE c IN (SELECT c FROM b)""",
