@@ -2,6 +2,8 @@ import datetime as dt
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from tallyforge.operators import claims as C
 from tallyforge.operators import topics as P
 
@@ -62,12 +64,14 @@ def test_heat_of_three_posts_without_commenters_is_80(spark):
 
 def test_claims(spark):
     df = spark.createDataFrame([("p", "e", "a", "My pump failed because it ran dry for weeks. There is no leak at all. I bought a kit last week."), ("p", None, "a", "My pump failed again today."), ("q", "f", None, None)], "post_id string, evidence_id string, author string, text string")
-    got = {(r.field, r.text): (r.status, r.severity, r.consequence) for r in C.distinct(C.from_sentences(df)).collect()}
+    got = {(r.field, r.source_text): (r.status, r.severity, r.consequence) for r in C.distinct(C.from_sentences(df)).collect()}
     assert got["pain", "My pump failed because it ran dry for weeks."] == ("fact", "high", "it ran dry for weeks.")
     assert ("pain", "There is no leak at all.") not in got
     assert got["current_solution", "I bought a kit last week."][0] == "fact"
-    agg = C.aggregate(C.distinct(C.from_sentences(df)))
-    assert C.opportunities(agg).count() == 0
+    c = C.distinct(C.from_sentences(df))
+    assert {r.text for r in c.filter("field = 'pain'").collect()} == {"用户报告故障、损坏或失效"} and {r.text for r in c.filter("field = 'current_solution'").collect()} == {"用户已尝试：a kit last week."}
+    agg = C.aggregate(c.withColumn("topic", F.lit("t")), ["topic"])
+    assert C.opportunities(agg, ["topic"]).count() == 0
 
 
 def test_checked_citations(spark):
@@ -78,3 +82,25 @@ def test_checked_citations(spark):
     assert got[0] == {"value": "v", "evidence_ids": ["a", "b"], "status": "fact"} and all(g == {"value": "unknown", "evidence_ids": [], "status": "unknown"} for g in got[1:])
     m = spark.sql("SELECT array('a') AS ids, array('u') AS urls, map('a', 'u') AS known")
     assert m.select(C.cited(F.col("ids"), F.col("urls"), F.col("known"))).first()[0]
+
+
+def test_opportunity_of_each_topic(spark):
+    """A gap that two authors tell in two posts, where two authors tell a pain; told differently, it is one gap."""
+    say = [("p1", "ann", "I had to modify the bracket. My pump has a leak."), ("p2", "Bob", "We had to modify the bracket. The hose has a leak now."), ("p3", "bob", "It had no instructions in the box.")]
+    df = spark.createDataFrame([(p, f"e{i}", a, t) for i, (p, a, t) in enumerate(say)], "post_id string, evidence_id string, author string, text string")
+    c = C.distinct(C.from_sentences(df))
+    two = c.withColumn("topic", F.lit("x")).unionByName(c.filter("post_id <> 'p2'").withColumn("topic", F.lit("y")))
+    got = [tuple(r) for r in C.opportunities(C.aggregate(two, ["topic"]), ["topic"]).collect()]
+    assert got == [("x", "用户指出方案缺口：the bracket.", 2, 2, 2)]
+    known = spark.createDataFrame([("p1", "e0", "https://a"), ("p2", "e1", ""), ("p9", "e0", "https://b")], "post_id string, evidence_id string, url string")
+    assert [tuple(r) for r in C.evidence(c, known).collect()] == [("p1", "e0", "https://a")]
+
+
+def test_references_and_texts_of_mixed_shapes(spark):
+    from tallyforge.operators import analysis as A
+
+    rows = [('{"text": " said ", "evidence": [{"post_id": "p", "evidence_id": "e"}, "q:f", "g", {"post_id": "p"}, 3]}',), ('{"scene": "road", "goal": "tow"}',), ('"plain"',), ('["a:b:c", " "]',), (None,)]
+    x = spark.createDataFrame(rows, "raw string").select(F.try_parse_json("raw").alias("v"))
+    got = [(r.t, [tuple(y) for y in r.r or []]) for r in x.select(A.claim_text(F.col("v")).alias("t"), A.references(F.col("v")).alias("r")).collect()]
+    assert got[0] == ("said", [("p", "e"), ("q", "f"), ("", "g"), ("", "3")]) and got[1][0] == "场景：road；目标：tow"
+    assert got[2][0] == "plain" and got[3][1] == [("a", "b:c")] and got[4] == ("", [])
