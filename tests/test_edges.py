@@ -53,7 +53,7 @@ def folders(spark, tmp_path_factory):
     return out
 
 
-ONE_ROW = {"q_run_coverage", "q_run_state", "q_run_counters", "q_source_status"}
+ONE_ROW = {"q_analysis_counts", "q_select_communities", "q_run_coverage", "q_run_state", "q_run_counters", "q_source_status"}
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
