@@ -5,8 +5,11 @@ A topic's posts are kept as rows (community, key, post_id), so a topic with a th
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,32 +30,74 @@ def valid_evidence(refs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def accept(members: DataFrame, evidence: DataFrame, most: int = MOST_TOPICS) -> DataFrame:
-    """prop_id, decision ('accepted', 'no_eligible_posts', 'invalid_evidence'): proposals in order, each post in at most ``most`` accepted ones.
+    """community, prop_id, ord, decision ('accepted', 'no_eligible_posts', 'invalid_evidence'): proposals in order, each post in at most ``most`` accepted ones.
 
     ``members``: community, prop_id, ord, post_id (posts that exist); ``evidence``: prop_id, post_id, ok.  A proposal is
-    accepted if some of its posts are still free and all its evidence is sound and about free posts.  Whether a post is
-    free is certain once enough earlier proposals are decided, so all certain proposals are decided at once, round by
-    round; the first undecided one of a community always is.  Proposals without any post are not in ``members``: the
-    caller adds them as 'no_eligible_posts'.
+    accepted if some of its posts are still free and all its evidence is sound and about free posts.  Only sound proposals
+    can take a place, so a post that fewer than ``most`` of them name before is surely free.  What depends on posts named
+    more often is decided by one pass in order over each community, which holds a number for each such post; so there are
+    as many jobs however long the chains of proposals are.  Proposals without any post are not in ``members``: the caller
+    adds them as 'no_eligible_posts'.
     """
-    m = members.select("community", "prop_id", "ord", "post_id").distinct()
-    e = evidence.groupBy("prop_id").agg(F.bool_and("ok").alias("sound"), F.count("*").alias("n_refs"))
-    cited = evidence.select("prop_id", "post_id").distinct().withColumn("cited", F.lit(True))
-    inside = cited.join(m.select("prop_id", "post_id"), ["prop_id", "post_id"], "left_anti").select("prop_id").distinct().withColumn("outside", F.lit(True))
-    facts = m.select("prop_id").distinct().join(e, "prop_id", "left").join(inside, "prop_id", "left").select("prop_id", (F.coalesce("sound", F.lit(False)) & (F.coalesce("n_refs", F.lit(0)) > 0) & F.col("outside").isNull()).alias("sound"))
-    x = written(m.join(facts, "prop_id").join(cited, ["prop_id", "post_id"], "left").withColumn("decision", F.lit(None).cast("string")), "proposals")
+    one = ["community", "ord", "prop_id"]
+    m = members.select(*one, "post_id").distinct()
+    cited = evidence.groupBy("prop_id", "post_id").agg(F.bool_and("ok").alias("ok"))
+    refs = cited.groupBy("prop_id").agg(F.bool_and("ok").alias("all_ok"), F.count("*").alias("n_refs"))
+    x = m.join(cited.select("prop_id", "post_id", F.lit(True).alias("cited")), ["prop_id", "post_id"], "left").withColumn("n_in", F.count("cited").over(Window.partitionBy(*one)))
+    sound = F.coalesce(F.col("all_ok"), F.lit(False)) & (F.col("n_in") == F.coalesce("n_refs", F.lit(0)))  # none is about a post outside
+    x = x.filter("prop_id IS NOT NULL").join(refs, "prop_id", "left").select(*one, "post_id", F.col("cited").isNotNull().alias("cited"), sound.alias("sound"))
     before = Window.partitionBy("community", "post_id").orderBy("ord", "prop_id").rowsBetween(Window.unboundedPreceding, -1)
-    while True:
-        taken = F.coalesce(F.sum(F.when(F.col("decision") == "accepted", 1)).over(before), F.lit(0))
-        unsure = F.coalesce(F.sum(F.when(F.col("decision").isNull(), 1)).over(before), F.lit(0))
-        y = x.withColumn("free", F.when(taken >= most, False).when(taken + unsure < most, True))
-        g = y.filter("decision IS NULL").groupBy("prop_id").agg(
-            F.count(F.when(F.col("free").isNull(), 1)).alias("n_unsure"), F.count(F.when(F.col("free"), 1)).alias("n_free"), F.count(F.when(F.coalesce("cited", F.lit(False)) & ~F.coalesce("free", F.lit(True)), 1)).alias("n_bad"), F.first("sound").alias("s")
-        )
-        new = g.filter("n_unsure = 0").select("prop_id", F.when(F.col("n_free") == 0, "no_eligible_posts").when(F.col("s") & (F.col("n_bad") == 0), "accepted").otherwise("invalid_evidence").alias("new"))
-        x = written(x.join(new, "prop_id", "left").withColumn("decision", F.coalesce("decision", "new")).drop("new"), "proposals")
-        if x.filter("decision IS NULL").isEmpty():
-            return x.select("community", "prop_id", "ord", "decision").distinct()
+    x = x.withColumn("doubtful", F.count(F.when(F.col("sound"), 1)).over(before) >= most).withColumn("contested", F.max("doubtful").over(Window.partitionBy("community", "post_id")))
+    x = written(x.withColumn("sure", ~F.min("doubtful").over(Window.partitionBy(*one))).drop("doubtful"), "proposals")
+    open_ = x.filter(F.col("contested") & (F.col("sound") | ~F.col("sure"))).withColumn("slot", F.dense_rank().over(Window.partitionBy("community").orderBy("post_id")) - 1)
+    kinds = dict(x.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in one) + ", decided string"
+    decided = open_.select(*one, "slot", "sound", "cited", "sure").sortWithinPartitions(*one).mapInArrow(_fold(most), schema)
+    each = x.groupBy(*one).agg(F.bool_and("sound").alias("sound"))
+    return each.join(decided, one, "left").select("community", "prop_id", "ord", F.coalesce("decided", F.when(F.col("sound"), "accepted").otherwise("invalid_evidence")).alias("decision"))
+
+
+def _fold(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Decisions on the rows (community, ord, prop_id, slot, sound, cited, sure) of a partition, in order; communities lie in one partition each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used, at, key = array("i"), None, None
+        free, bad, some, sound = [], False, False, False
+
+        def decision() -> str:
+            if not free and not some:
+                return "no_eligible_posts"
+            if bad or not sound:
+                return "invalid_evidence"
+            for s in free:
+                used[s] += 1
+            return "accepted"
+
+        for b in batches:
+            out: list[tuple] = []
+            for c, o, p, slot, is_sound, cited, sure in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if (c, o, p) != key:
+                    if key is not None:
+                        out.append((*key, decision()))
+                    if c != at:
+                        used, at = array("i"), c
+                    key, free, bad, some, sound = (c, o, p), [], False, sure, is_sound
+                if slot >= len(used):
+                    used.extend([0] * (slot + 1 - len(used)))
+                if used[slot] < most:
+                    free.append(slot)
+                else:
+                    bad |= cited
+            yield _decisions(out, b.schema)
+        if key is not None:
+            yield _decisions([(*key, decision())], b.schema)
+
+    return run
+
+
+def _decisions(rows: list[tuple], like: pa.Schema) -> pa.RecordBatch:
+    types = [*like.types[:3], pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[*like.names[:3], "decided"])
 
 
 def counts(topic_posts: DataFrame, posts: DataFrame, comments: DataFrame, commenters: DataFrame, as_of: datetime) -> DataFrame:

@@ -44,6 +44,26 @@ def test_accept_like_a_fold(spark):
         assert got == fold(members, evidence)
 
 
+def test_accept_takes_no_more_stages_for_long_chains(spark, monkeypatch):
+    """Proposals that wait for one another, however many: one written stage, the decisions of the fold; a proposal's rows in several batches."""
+    r = random.Random(5)
+    members = [(r.choice("xy") if p % 9 else "z", p, p, f"t{r.randrange(60)}") for p in range(500)]
+    members = sorted({(c, p, o, x) for c, p, o, y in members for x in [y] + [f"t{r.randrange(60)}" for _ in range(r.randint(0, 5))]})
+    evidence = [(p, x, r.random() < 0.97) for c, p, o, x in members if r.random() < 0.3]
+    stages, write = [], P.written
+    monkeypatch.setattr(P, "written", lambda df, name: (stages.append(name), write(df, name))[1])
+    m = spark.createDataFrame(members, "community string, prop_id long, ord long, post_id string").repartition(5)
+    e = spark.createDataFrame(evidence, "prop_id long, post_id string, ok boolean")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = P.accept(m, e).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = fold(members, evidence)
+    assert {x.prop_id: x.decision for x in rows} == want and len(rows) == len(want) and set(want.values()) == {"accepted", "no_eligible_posts", "invalid_evidence"}
+    assert len(stages) == 1
+
+
 def counted(spark, days, people=0):
     posts = spark.createDataFrame([(f"p{i}", f"a{i}", 1, AS_OF - dt.timedelta(days=d)) for i, d in enumerate(days)], "post_id string, author string, score long, created_at timestamp")
     tp = spark.createDataFrame([("c", "k", f"p{i}") for i in range(len(days))], "community string, key string, post_id string")
