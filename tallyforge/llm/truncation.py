@@ -6,7 +6,10 @@ A logistic regression on hashed closing characters and words, punctuation, open
 among the source's lengths, and how often the closing words end a sentence elsewhere, scores every record.
 
 The limits of a source are the lengths that far more of its records have than have the lengths around; they are found
-over all records.  The sample for training is ``SAMPLE`` intact texts, the first by a hash of their id.
+over all records.  How often words end a sentence is counted over all intact texts, in a table of ``TABLE`` places by hash
+(words that share a place share their counts), in two halves of the texts so that none is trained with its own counts.
+All intact texts are trained on: groups of about ``GROUP``, by a hash of id and text, each learn weights, and a feature's
+weight is the mean over the groups, by how often the feature occurs there.
 
 Defined cases: null, blank, deleted and removed texts are complete (score 0); a repeated id is scored by its highest
 score; a null source is a source of its own; without intact texts nothing can be learned and every score is 0.
@@ -17,7 +20,10 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections.abc import Iterator
+import zlib
+from array import array
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +32,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyforge.llm.logistic import Rows, bucket, fit
-from tallyforge.llm.sampling import bounded
 
-SAMPLE = 20_000
-WIDTH = 1 << 18
+GROUP = 10_000
+WIDTH, TABLE = 1 << 18, 1 << 21
 #: A limit: a length that at least this share of a source's records have, and so many times those around it.
 SPIKE_SHARE, SPIKE_TIMES, AROUND = 0.004, 4.0, 15
 #: Endings people write that are no cut, and marks that readers put after a cut.
@@ -59,45 +64,118 @@ def limits(df: DataFrame, text: str, source: str) -> dict[str | None, list[int]]
 
 
 class Endings:
-    """How often the last one to four words of sentences end one, and whether a word is known at all."""
+    """How often the last one to four words of sentences end one, and whether they are known at all."""
 
-    def __init__(self, texts: list[str]):
-        self.final: dict[str, int] = {}
-        self.total: dict[str, int] = {}
+    def __init__(self, texts: Iterable[str] = (), counts: np.ndarray | None = None):
+        """``counts``: occurrences and endings at each place of the table; else those of ``texts``."""
+        self.total, self.final = counts if counts is not None else _Counter().add(texts).counts().sum(axis=0)
+
+    def features(self, w: list[str]) -> list[tuple[str, float]]:
+        out, known, longest = [], 0, None
+        codes = [_code(x) for x in w[-4:]]
+        for n in range(1, len(codes) + 1):
+            h = n
+            for c in codes[-n:]:
+                h = (h * _TIMES + c) & _ALL
+            at = (h * _SPREAD & _ALL) >> _SHIFT
+            total = int(self.total[at])
+            if total:
+                known, final = n, int(self.final[at])
+                rate = (final + 0.2) / (total + 0.4)
+                longest = math.log(rate / (1 - rate)), final
+                out.append((f"ends{n}", longest[0]))
+                out.append((f"{'can' if final else 'never'}{n}", 1.0))
+        out.append((f"known{known}/{min(len(w), 4)}", 1.0))
+        if longest:
+            out.append(("longest", longest[0]))
+            out.append((f"longest{known}{'' if longest[1] else 'never'}", 1.0))
+        return out
+
+
+_ALL, _TIMES, _SPREAD, _SHIFT = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 65 - TABLE.bit_length()
+
+
+@lru_cache(1 << 16)
+def _code(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
+
+
+def half(text: str) -> int:
+    """The half of the texts that a text is counted in; like texts in the same."""
+    return zlib.crc32(text.encode("utf-8", "surrogatepass")) >> 7 & 1
+
+
+class _Counter:
+    """Occurrences and endings of one to four words in each half of the texts, at the places of a table of fixed size."""
+
+    def __init__(self):
+        self.all, self.codes, self.at, self.last, self.halves = np.zeros(4 * TABLE, np.int64), array("Q"), array("q"), array("b"), array("b")
+
+    def add(self, texts: Iterable[str]) -> _Counter:
         for t in texts:
+            where = half(t)
             for s in _SENTENCE.split(t):
-                if not re.search(r"[.!?]$", s):
+                if not s or s[-1] not in ".!?":
                     continue
                 w = words(s)
                 while w and not w[-1][0].isalnum():
                     w.pop()
-                for i in range(len(w)):
-                    for n in range(1, 5):
-                        if i + 1 >= n:
-                            g = " ".join(w[i + 1 - n : i + 1])
-                            self.total[g] = self.total.get(g, 0) + 1
-                            if i + 1 == len(w):
-                                self.final[g] = self.final.get(g, 0) + 1
+                if w:
+                    self.codes.extend([_code(x) for x in w])
+                    self.at.extend(range(len(w)))
+                    self.last.frombytes(bytes(len(w) - 1) + b"\1")
+                    self.halves.frombytes(bytes([where]) * len(w))
+            if len(self.codes) > 1_000_000:
+                self._sum()
+        return self
 
-    def features(self, w: list[str]) -> list[tuple[str, float]]:
-        out, known = [], 0
+    def _sum(self) -> None:
+        codes, at, last, halves = np.array(self.codes), np.array(self.at), np.array(self.last, bool), np.array(self.halves, np.int64)
         for n in range(1, 5):
-            if len(w) < n:
-                break
-            g = " ".join(w[-n:])
-            total = self.total.get(g, 0)
-            if total:
-                known = n
-                rate = (self.final.get(g, 0) + 0.2) / (total + 0.4)
-                out.append((f"ends{n}", math.log(rate / (1 - rate))))
-                out.append((f"{'never' if g not in self.final else 'can'}{n}", 1.0))
-        out.append((f"known{known}/{min(len(w), 4)}", 1.0))
-        if known:
-            g = " ".join(w[-known:])
-            rate = (self.final.get(g, 0) + 0.2) / (self.total[g] + 0.4)
-            out.append(("longest", math.log(rate / (1 - rate))))
-            out.append((f"longest{known}{'never' if g not in self.final else ''}", 1.0))
-        return out
+            i = np.flatnonzero(at >= n - 1)
+            h = np.full(len(i), n, np.uint64)
+            for j in range(n - 1, -1, -1):
+                h = h * np.uint64(_TIMES) + codes[i - j]
+            place = (h * np.uint64(_SPREAD) >> np.uint64(_SHIFT)).astype(np.int64) + 2 * TABLE * halves[i]
+            self.all += np.bincount(np.concatenate([place, place[last[i]] + TABLE]), minlength=4 * TABLE)
+        self.codes, self.at, self.last, self.halves = array("Q"), array("q"), array("b"), array("b")
+
+    def counts(self) -> np.ndarray:
+        """By half, then occurrences and endings."""
+        self._sum()
+        return self.all.reshape(2, 2, TABLE)
+
+
+def packed(counts: np.ndarray) -> tuple[tuple[int, ...], np.ndarray, np.ndarray]:
+    """Counts without the empty places, for sending."""
+    at = np.flatnonzero(counts)
+    return counts.shape, at.astype(np.int32), counts.reshape(-1)[at]
+
+
+def unpacked(shape: tuple[int, ...], at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    flat = np.zeros(math.prod(shape), np.int64)
+    flat[at] = n
+    return flat.reshape(shape)
+
+
+def counted(intact: DataFrame, text: str) -> tuple[int, np.ndarray]:
+    """The number of texts, and the counts of all of them: what reaches the driver is a table of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, n = _Counter(), 0
+        for b in batches:
+            c.add(b.column(0).to_pylist())
+            n += b.num_rows
+        if n:
+            flat = c.counts().reshape(-1)
+            at = np.flatnonzero(flat)
+            for k in range(0, len(at), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 200_000]), pa.array(flat[at[k : k + 200_000]])], names=["place", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([n], pa.int64())], names=["place", "n"])
+
+    found = intact.select(text).mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    at, n = found.column("place").to_numpy(), found.column("n").to_numpy()
+    return int(n[at < 0].sum()), unpacked((2, 2, TABLE), at[at >= 0], n[at >= 0])
 
 
 def words(text: str) -> list[str]:
@@ -158,55 +236,87 @@ def _cut(t: str, rng: random.Random, spikes: list[int]) -> str | None:
     return c
 
 
-def train(sample: list[tuple[str, str | None]], spikes: dict[str | None, list[int]], seed: int = 7) -> tuple[np.ndarray, Endings]:
-    rng = random.Random(seed)
-    known = Endings([t for t, _ in sample[::2]])
-    rows, y = [], []
-    for t, s in sample[1::2]:
-        last = re.sub(r"[.!?]+$", "", t)
-        texts = [(t, 0), (last + rng.choice(CASUAL), 0), (last + rng.choice(CASUAL), 0)]
+def examples(t: str, source: str | None, spikes: dict[str | None, list[int]], rng: random.Random, every: bool) -> list[tuple[str, int]]:
+    """Whole and cut texts made of an intact one: ``every`` kind, else one whole text of any kind and in three of four cases a cut one."""
+    last = re.sub(r"[.!?]+$", "", t)
+    whole = [0, 1, 2, 3] if every else [rng.randrange(4)]
+    texts = [(t, 0) for k in whole if k == 0] + [(last + rng.choice(CASUAL), 0) for k in whole if k in (1, 2)]
+    if 3 in whole:  # an intact text that ends earlier
         sentences = _SENTENCE.split(t)
-        if len(sentences) > 1:  # an intact text that ends earlier
+        if len(sentences) > 1:
             k = rng.randint(1, len(sentences) - 1)
             part = t[: t.find(sentences[k], sum(map(len, sentences[:k])))].rstrip()
             if re.search(r"[.!?]$", part):
                 texts.append((re.sub(r"[.!?]+$", "", part) + rng.choice(CASUAL), 0))
-        for _ in range(3):
-            c = _cut(t, rng, spikes.get(s, []))
-            if c:
-                texts.append((c + rng.choice(MARKS), 1))
-        for x, label in texts:
+    for _ in range(3 if every else rng.random() < 0.75):
+        c = _cut(t, rng, spikes.get(source, []))
+        if c:
+            texts.append((c + rng.choice(MARKS), 1))
+    return texts
+
+
+def train(texts: list[tuple[str, str, str | None]], spikes: dict[str | None, list[int]], counts: np.ndarray, every: bool = True, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Weights learned from intact texts (id, text, source), and how often each feature occurs; a text is seen with the counts of the other half."""
+    others = [Endings(counts=counts[1 - h]) for h in (0, 1)]
+    rng, rows, y = random.Random(), [], []
+    for key, t, s in sorted(texts, key=lambda x: (x[0] or "", x[1], x[2] or "")):
+        rng.seed(zlib.crc32(f"{seed}|{key}|{t}".encode("utf-8", "surrogatepass")))
+        known = others[half(t)]
+        for x, label in examples(t, s, spikes, rng, every):
             at = place(len(x), s, spikes) if label or rng.random() < 0.97 else "at"
             rows.append(features(x, at, known))
             y.append(label)
     if not rows:
-        return np.zeros(WIDTH), known
-    w = fit(Rows(rows), np.array(y, float), WIDTH)
-    full = Endings([t for t, _ in sample])
-    return w, full
+        return np.zeros(WIDTH), np.zeros(WIDTH, np.int64)
+    x = Rows(rows)
+    seen, w = np.bincount(x.place, minlength=WIDTH), np.zeros(WIDTH)
+    used, x.place = np.unique(x.place, return_inverse=True)
+    w[used] = fit(x, np.array(y, float), len(used))  # places without a feature stay 0
+    return w, seen
+
+
+def learned(intact: DataFrame, key: str, text: str, source: str, spikes: dict[str | None, list[int]], counts: np.ndarray, n: int, group: int) -> tuple[np.ndarray, int]:
+    """Weights from all ``n`` intact texts, and how many were trained on."""
+    groups = -(-n // group)
+    known = intact.sparkSession.sparkContext.broadcast((packed(counts), spikes))
+
+    def run(t: pa.Table) -> pa.Table:
+        counts, spikes = known.value
+        w, seen = train(list(zip(*(c.to_pylist() for c in t.columns[1:]), strict=True)), spikes, unpacked(*counts), groups == 1)
+        at = np.flatnonzero(seen)
+        return pa.table({"place": pa.array(np.append(at, -1)), "sum": pa.array(np.append(w[at] * seen[at], 0.0)), "n": pa.array(np.append(seen[at], t.num_rows))})
+
+    which = F.pmod(F.xxhash64(F.col(key).cast("string"), F.col(text)), F.lit(groups)).alias("part")
+    each = intact.select(which, F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.col(source).cast("string").alias("source"))
+    found = each.repartition(groups, "part").groupBy("part").applyInArrow(run, "place long, sum double, n long").groupBy("place").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n")).toArrow()
+    at, sums, times = (found.column(c).to_numpy() for c in ("place", "sum", "n"))
+    known.destroy()
+    w = np.zeros(WIDTH)
+    w[at[at >= 0]] = sums[at >= 0] / times[at >= 0]
+    return w, int(times[at < 0].sum())
 
 
-def scores(df: DataFrame, key: str, text: str, source: str, sample: int = SAMPLE) -> DataFrame:
+def scores(df: DataFrame, key: str, text: str, source: str, group: int = GROUP) -> DataFrame:
     """key, source, score (0 to 1: how likely the text was cut) of every record, repeated keys included."""
     spark = df.sparkSession
     rows = df.select(key, text, source)
     spikes = limits(rows, text, source)
     intact = rows.filter(F.col(text).rlike(_INTACT) & (F.length(text) >= 20))
-    picked = bounded(intact, [key], sample)
-    w, known = train([(r[text], r[source]) for r in picked], spikes) if picked else (np.zeros(WIDTH), Endings([]))
-    learned = bool(picked)
+    n, counts = counted(intact, text)
+    w = learned(intact, key, text, source, spikes, counts, n, group)[0] if n else np.zeros(WIDTH)
     used = np.flatnonzero(w)
-    model = spark.sparkContext.broadcast((used.astype(np.int32), w[used].astype(np.float32), known, spikes))
+    model = spark.sparkContext.broadcast((used.astype(np.int32), w[used].astype(np.float32), packed(counts.sum(axis=0)), spikes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, values, known, spikes = model.value
+        places, values, counts, spikes = model.value
+        known = Endings(counts=unpacked(*counts))
         w = np.zeros(WIDTH)
         w[places] = values
         w = w.tolist()
         for b in batches:
             out = []
             for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if not learned or t is None or not t.strip() or t.strip().lower() in GONE:
+                if not n or t is None or not t.strip() or t.strip().lower() in GONE:
                     out.append(0.0)
                     continue
                 z = sum(w[p] * v for p, v in features(t, place(len(t), s, spikes), known))

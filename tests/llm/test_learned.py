@@ -34,6 +34,20 @@ def test_cuts_are_found(spark, folder):
     assert len(got & cut) >= 0.9 * len(cut) and len(got - cut) <= 0.06 * len(rows)
 
 
+def test_all_intact_texts_are_counted_and_trained_on(spark):
+    """Not the first by a hash: every text, whatever the size of a group."""
+    r = random.Random(4)
+    rows = [(f"c{i}", f"{sentence(r)} It went to the shop of Mister {'abcdefgh'[i % 8] * 5}.", "s") for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, t string, s string").repartition(3)
+    n, counts = truncation.counted(df, "t")
+    alone = truncation._Counter().add(t for _, t, _ in rows).counts()
+    assert n == 400 and (counts == alone).all()
+    at = truncation.Endings(counts=counts.sum(axis=0)).features(["mister", "ccccc"])
+    assert ("can2", 1.0) in at and abs(dict(at)["ends2"] - truncation.math.log(50.2 / 0.2)) < 1e-9
+    got = [truncation.learned(df.repartition(p), "k", "t", "s", {}, counts, n, 64) for p in (2, 5)]
+    assert [x[1] for x in got] == [400, 400] and abs(got[0][0] - got[1][0]).max() < 1e-9
+
+
 def test_limits_are_found(spark):
     r = random.Random(2)
     rows = [("a", "x" * min(120, r.randint(50, 300))) for _ in range(900)] + [("b", "x" * r.randint(50, 300)) for _ in range(900)]
