@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyforge.llm.logistic import Rows, bucket, fit
+from tallyforge.llm.logistic import Block, Rows, bucket, fit
 
 GROUP = 10_000
 WIDTH, TABLE = 1 << 18, 1 << 21
@@ -47,6 +47,12 @@ _WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*|\d+|[^\w\s]")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 # Possessive throughout: a run of marks is taken once, so long runs cost no more than their length.
 _CLOSER = re.compile(r"(?:\s*+(?:\.\.++|…++|\[\.\.\.\]|\[…\]|[!?.]++|[:;][-']?[)(DPp/|]|<3|\^\^|xD|(?<!\S)(?:/s|/j|lol|haha|ymmv|imo|fwiw|thx|cheers|tldr|edit: ?\w++)|[\U0001F300-\U0001FAFF☀-➿️]++))++\s*$", re.I)
+#: What a run without blanks within closing marks may be made of (at least); ``edit: word`` has a blank.
+_LIKE = re.compile(r"(?:[.…!?\[\]:;'\-)(DPp|<3^x\U0001F300-\U0001FAFF☀-➿️]|/[sj]?+|lol|haha|ymmv|imo|fwiw|thx|cheers|tldr|edit:\w*+)++", re.I)
+_LINK, _SCHEME, _CODE = re.compile(r"(?:https?:|www\.)[^\s)]*$"), re.compile(r"\bhttps?$|\bwww$"), re.compile(r"&#?\w{0,7}$|%[0-9A-Fa-f]?$|\\u?[0-9a-fA-F]{0,3}$")
+_JOINT = frozenset([",", ";", ":", "-", "–", "—", "/", "&", "'", "’"])
+KINDS, LIMITS = ("none", "dots", "bracket", "stop", "other"), ("off", "at", "before", "beyond")
+FLAGS = ("open(", "open[", "open“", "open«", "openquote", "link", "link", "code", "broken", "joint")
 _INTACT = r"[\p{L}\p{N})][.!?]$"
 
 
@@ -70,26 +76,57 @@ class Endings:
         """``counts``: occurrences and endings at each place of the table; else those of ``texts``."""
         self.total, self.final = counts if counts is not None else _Counter().add(texts).counts().sum(axis=0)
 
+    def found(self, codes: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Occurrences and endings of the last one to four words of rows with ``m`` of them (``codes``, the last word last)."""
+        total, final = np.zeros((4, len(m)), np.int64), np.zeros((4, len(m)), np.int64)
+        for n in range(1, 5):
+            h = np.full(len(m), n, np.uint64)
+            for j in range(4 - n, 4):
+                h = h * np.uint64(_TIMES) + codes[:, j]
+            at = (h * np.uint64(_SPREAD) >> np.uint64(_SHIFT)).astype(np.int64)
+            total[n - 1] = np.where(m >= n, self.total[at], 0)
+            final[n - 1] = np.where(total[n - 1] > 0, self.final[at], 0)
+        return total, final
+
     def features(self, w: list[str]) -> list[tuple[str, float]]:
-        out, known, longest = [], 0, None
-        codes = [_code(x) for x in w[-4:]]
-        for n in range(1, len(codes) + 1):
-            h = n
-            for c in codes[-n:]:
-                h = (h * _TIMES + c) & _ALL
-            at = (h * _SPREAD & _ALL) >> _SHIFT
-            total = int(self.total[at])
-            if total:
-                known, final = n, int(self.final[at])
-                rate = (final + 0.2) / (total + 0.4)
-                longest = math.log(rate / (1 - rate)), final
-                out.append((f"ends{n}", longest[0]))
-                out.append((f"{'can' if final else 'never'}{n}", 1.0))
-        out.append((f"known{known}/{min(len(w), 4)}", 1.0))
-        if longest:
-            out.append(("longest", longest[0]))
-            out.append((f"longest{known}{'' if longest[1] else 'never'}", 1.0))
-        return out
+        """Names and values for closing words."""
+        codes, m = _codes([w])
+        states, values = _states(*self.found(codes, m))
+        known = _known(int(states[0]))
+        named = [x for n in range(1, 5) if int(states[0]) // 3 ** (n - 1) % 3 for x in ((f"ends{n}", float(values[n - 1, 0])), (_state(int(states[0]), n), 1.0))]
+        return named + [(f"known{known}/{m[0]}", 1.0)] + ([("longest", float(values[4, 0])), (_longest(int(states[0])), 1.0)] if known else [])
+
+
+def _codes(last: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of rows' last words, at most four, and how many they are."""
+    flat = array("Q")
+    for w in last:
+        flat.extend([0] * (4 - len(w)) + [_code(x) for x in w[-4:]])
+    return np.array(flat, np.uint64).reshape(-1, 4), np.minimum([len(w) for w in last], 4)
+
+
+def _states(total: np.ndarray, final: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the last one to four words are not known, never end or can end a sentence (0, 1, 2 as digits of base 3), and their log odds, those of the longest that are known last."""
+    rate = (final + 0.2) / (total + 0.4)
+    values = np.where(total > 0, np.log(rate / (1 - rate)), 0.0)
+    longest = np.zeros(total.shape[1])
+    for t, v in zip(total, values, strict=True):
+        longest = np.where(t > 0, v, longest)
+    states = (np.where(total > 0, 1 + (final > 0), 0) * np.array([[1], [3], [9], [27]])).sum(axis=0)
+    return states, np.vstack([values, longest])
+
+
+def _known(states: int) -> int:
+    return max((n for n in range(1, 5) if states // 3 ** (n - 1) % 3), default=0)
+
+
+def _state(states: int, n: int) -> str:
+    return f"{('', 'never', 'can')[states // 3 ** (n - 1) % 3]}{n}"
+
+
+def _longest(states: int) -> str:
+    known = _known(states)
+    return f"longest{known}{'never' if states // 3 ** (known - 1) % 3 == 1 else ''}"
 
 
 _ALL, _TIMES, _SPREAD, _SHIFT = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 65 - TABLE.bit_length()
@@ -100,6 +137,12 @@ def _code(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass"))
 
 
+@lru_cache(1 << 16)
+def _found_code(x: str) -> int:
+    """The code of a word as it is found in a text."""
+    return _code(_word(x))
+
+
 def half(text: str) -> int:
     """The half of the texts that a text is counted in; like texts in the same."""
     return zlib.crc32(text.encode("utf-8", "surrogatepass")) >> 7 & 1
@@ -109,7 +152,7 @@ class _Counter:
     """Occurrences and endings of one to four words in each half of the texts, at the places of a table of fixed size."""
 
     def __init__(self):
-        self.all, self.codes, self.at, self.last, self.halves = np.zeros(4 * TABLE, np.int64), array("Q"), array("q"), array("b"), array("b")
+        self.all, self.codes, self.sizes, self.halves = np.zeros(4 * TABLE, np.int64), array("Q"), array("q"), array("b")
 
     def add(self, texts: Iterable[str]) -> _Counter:
         for t in texts:
@@ -117,28 +160,32 @@ class _Counter:
             for s in _SENTENCE.split(t):
                 if not s or s[-1] not in ".!?":
                     continue
-                w = words(s)
-                while w and not w[-1][0].isalnum():
+                w = _WORD.findall(s)
+                while w and (w[-1].isdigit() or not w[-1][0].isalnum()):
                     w.pop()
                 if w:
-                    self.codes.extend([_code(x) for x in w])
-                    self.at.extend(range(len(w)))
-                    self.last.frombytes(bytes(len(w) - 1) + b"\1")
-                    self.halves.frombytes(bytes([where]) * len(w))
+                    self.codes.extend(map(_found_code, w))
+                    self.sizes.append(len(w))
+                    self.halves.append(where)
             if len(self.codes) > 1_000_000:
                 self._sum()
         return self
 
     def _sum(self) -> None:
-        codes, at, last, halves = np.array(self.codes), np.array(self.at), np.array(self.last, bool), np.array(self.halves, np.int64)
+        codes, sizes = np.array(self.codes, np.uint64), np.array(self.sizes, np.int64)
+        ends = np.cumsum(sizes)
+        at = np.arange(len(codes)) - np.repeat(ends - sizes, sizes)
+        halves, last = np.repeat(np.array(self.halves, np.int64), sizes), np.zeros(len(codes), bool)
+        last[ends - 1] = True
         for n in range(1, 5):
             i = np.flatnonzero(at >= n - 1)
             h = np.full(len(i), n, np.uint64)
             for j in range(n - 1, -1, -1):
                 h = h * np.uint64(_TIMES) + codes[i - j]
             place = (h * np.uint64(_SPREAD) >> np.uint64(_SHIFT)).astype(np.int64) + 2 * TABLE * halves[i]
-            self.all += np.bincount(np.concatenate([place, place[last[i]] + TABLE]), minlength=4 * TABLE)
-        self.codes, self.at, self.last, self.halves = array("Q"), array("q"), array("b"), array("b")
+            np.add.at(self.all, place, 1)
+            np.add.at(self.all, place[last[i]] + TABLE, 1)
+        self.codes, self.sizes, self.halves = array("Q"), array("q"), array("b")
 
     def counts(self) -> np.ndarray:
         """By half, then occurrences and endings."""
@@ -178,48 +225,123 @@ def counted(intact: DataFrame, text: str) -> tuple[int, np.ndarray]:
     return int(n[at < 0].sum()), unpacked((2, 2, TABLE), at[at >= 0], n[at >= 0])
 
 
-def words(text: str) -> list[str]:
-    return ["#" if x.isdigit() else x.lower() for x in _WORD.findall(text)]
+def _word(x: str) -> str:
+    return "#" if x.isdigit() else x.lower()
 
 
-def features(text: str, at_limit: str, endings: Endings) -> list[tuple[int, float]]:
-    """Places and values of a text's features; ``at_limit`` is how its length lies to the source's limits."""
+def _start(tail: str) -> int:
+    """A place at or before the closing marks of a line, mostly shortly before: a run without blanks that can't be among them, or within an ``edit: word``."""
+    end = len(tail)
+    for _ in range(8):
+        run = tail[:end].rsplit(None, 1)
+        if not run:
+            return 0
+        start = end - len(run[-1])
+        if not _LIKE.fullmatch(run[-1]) and tail[max(start - 2, 0) : start] != ": ":
+            return start
+        end = len(tail[:start].rstrip())
+    return 0
+
+
+def _last_sentence(body: str) -> str:
+    """What is after the last sentence's end that has a blank after it; ``body`` is one line."""
+    k = max(body.rfind(". "), body.rfind("! "), body.rfind("? "), body.rfind("… "))
+    rest = body[k + 1 :].lstrip() if k >= 0 else body
+    return _SENTENCE.split(rest)[-1] if "." in rest or "!" in rest or "?" in rest or "…" in rest else rest
+
+
+def _last_words(sentence: str) -> list[str]:
+    """The last words, from a word or number on back: four, or all that there are."""
+    first = sentence.rsplit(None, 6)
+    for part in (sentence[len(first[0]) :], sentence) if len(first) == 7 else (sentence,):  # no word has a blank in it
+        w = _WORD.findall(part)
+        while w and not w[-1][0].isalnum() and w[-1] != "#":
+            w.pop()
+        if len(w) >= 4:
+            break
+    return [_word(x) for x in w[-4:]]
+
+
+def closing(text: str) -> tuple[int, str, list[str], int]:
+    """The kind of a text's closing marks; the last three characters, the last four words and the flags (bits) of the sentence before them."""
     tail = text.rstrip().rsplit("\n", 1)[-1]
-    closer = _CLOSER.search(tail)
+    closer = _CLOSER.search(tail, _start(tail))
     mark = closer.group().strip() if closer else ""
-    body = tail[: closer.start()] if closer else tail
-    sentence = _SENTENCE.split(body)[-1]
-    w = words(sentence)
-    while w and not w[-1][0].isalnum() and w[-1] != "#":
-        w.pop()
-    kind = "none" if not mark else "dots" if re.fullmatch(r"\.\.+|…", mark) else "bracket" if "[" in mark else "stop" if re.fullmatch(r"[.!?]+", mark) else "other"
-    named = [(f"kind={kind}", 1.0), (f"limit={at_limit}", 1.0), (f"kind={kind},limit={at_limit}", 1.0), ("one", 1.0)]
-    named += [(f"{kind}:{n}", v) for n, v in endings.features(w)]
-    named += [(f"short={min(len(w), 3)}", 1.0)]
-    last = sentence.rstrip()[-6:]
-    named += [(f"c{n}={kind}{last[-n:].lower()}", 0.5) for n in (1, 2, 3)]
-    if w:
-        named.append((f"w={kind}{w[-1]}", 0.5))
-        named.append((f"w={w[-1]}", 0.5))
-    flat = sentence
-    for a, b in ("()", "[]", "“”", "«»"):
-        if flat.count(a) > flat.count(b):
-            named.append((f"open{a}", 1.0))
-    if flat.count("`") % 2 or flat.count('"') % 2:
-        named.append(("openquote", 1.0))
-    if re.search(r"(?:https?:|www\.)[^\s)]*$", flat):
-        named.append(("link", 1.0))
-    if re.search(r"\bhttps?$|\bwww$", flat):
-        named.append(("link", 1.0))
-    if re.search(r"&#?\w{0,7}$|%[0-9A-Fa-f]?$|\\u?[0-9a-fA-F]{0,3}$", flat):
-        named.append(("code", 1.0))
+    flat = _last_sentence(tail[: closer.start()] if closer else tail)
+    kind = 0 if not mark else 1 if mark == "…" or (len(mark) > 1 and not mark.strip(".")) else 2 if "[" in mark else 3 if not mark.strip(".!?") else 4
+    flags = 0
+    for k, (a, b) in enumerate(("()", "[]", "“”", "«»")):
+        if a in flat and flat.count(a) > flat.count(b):
+            flags |= 1 << k
+    if ("`" in flat and flat.count("`") % 2) or ('"' in flat and flat.count('"') % 2):
+        flags |= 16
+    if "http" in flat or "www" in flat:
+        flags |= bool(_LINK.search(flat)) << 5 | bool(_SCHEME.search(flat)) << 6
+    if ("&" in flat or "%" in flat or "\\" in flat) and _CODE.search(flat, max(len(flat) - 9, 0)):
+        flags |= 128
     if "�" in tail[-3:]:
-        named.append(("broken", 1.0))
-    if sentence[-1:] in {",", ";", ":", "-", "–", "—", "/", "&", "'", "’"}:
-        named.append(("joint", 1.0))
+        flags |= 256
+    if flat[-1:] in _JOINT:
+        flags |= 512
+    return kind, flat.rstrip()[-3:], _last_words(flat), flags
+
+
+def _placed(*named: tuple[str, float]) -> list[tuple[int, float]]:
     return [(bucket(n, WIDTH), v) for n, v in named]
 
 
+@lru_cache(1 << 14)
+def _common(code: int) -> list[tuple[int, float]]:
+    """Features of kind, limit, number of words, what is known of them, and flags; these as one number."""
+    code, flags = divmod(code, 1 << len(FLAGS))
+    code, states = divmod(code, 81)
+    code, m = divmod(code, 5)
+    kind, limit = KINDS[code // len(LIMITS)], LIMITS[code % len(LIMITS)]
+    named = [f"kind={kind}", f"limit={limit}", f"kind={kind},limit={limit}", "one", f"short={min(m, 3)}", f"{kind}:known{_known(states)}/{m}"]
+    named += [f"{kind}:{_state(states, n)}" for n in range(1, 5) if states // 3 ** (n - 1) % 3]
+    named += [f"{kind}:{_longest(states)}"] if states else []
+    return _placed(*((x, 1.0) for x in [*named, *(x for k, x in enumerate(FLAGS) if flags >> k & 1)]))
+
+
+@lru_cache(1 << 16)
+def _lettered(kind: int, last: str) -> list[tuple[int, float]]:
+    return _placed(*((f"c{n}={KINDS[kind]}{last[-n:].lower()}", 0.5) for n in (1, 2, 3)))
+
+
+@lru_cache(1 << 16)
+def _worded(kind: int, word: str | None) -> list[tuple[int, float]]:
+    return [] if word is None else _placed((f"w={KINDS[kind]}{word}", 0.5), (f"w={word}", 0.5))
+
+
+_VALUED = [[[(bucket(f"{k}:{n}", WIDTH), 1.0)] for k in KINDS] for n in ("ends1", "ends2", "ends3", "ends4", "longest")]
+
+
+def encoded(texts: list[str], at_limit: list[str], endings: list[Endings], halves: list[int] | None = None) -> Rows:
+    """Features of texts; ``at_limit`` is how their lengths lie to their sources' limits, ``halves`` which of the endings each is seen with."""
+    kinds, letters, last, flags = zip(*map(closing, texts), strict=True)
+    codes, m = _codes(last)
+    kind = np.array(kinds, np.int64)
+    total, final = endings[0].found(codes, m)
+    if halves is not None:
+        other, in_other = endings[1].found(codes, m), np.array(halves) == 1
+        total, final = np.where(in_other, other[0], total), np.where(in_other, other[1], final)
+    states, values = _states(total, final)
+    limit = np.array([LIMITS.index(x) for x in at_limit], np.int64)
+    common, which = np.unique((((kind * len(LIMITS) + limit) * 5 + m) * 81 + states) * (1 << len(FLAGS)) + np.array(flags, np.int64), return_inverse=True)
+    blocks = [Block(which, [_common(int(c)) for c in common])]
+    for keys, of in ((zip(kinds, letters, strict=True), _lettered), (((k, w[-1] if w else None) for k, w in zip(kinds, last, strict=True)), _worded)):
+        known: dict = {}
+        which = np.array([known.setdefault(x, len(known)) for x in keys], np.int64)
+        blocks.append(Block(which, [of(*x) for x in known]))
+    there = [*(total > 0), states > 0]
+    return Rows(len(texts), [*blocks, *(Block(kind, p, v, t) for p, v, t in zip(_VALUED, values, there, strict=True))])
+
+
+def features(text: str, at_limit: str, endings: Endings) -> list[tuple[int, float]]:
+    """Places and values of a text's features; ``at_limit`` is how its length lies to the source's limits."""
+    return encoded([text], [at_limit], [endings]).row(0)
+
+
 def place(n: int, source: str | None, spikes: dict[str | None, list[int]]) -> str:
     own = spikes.get(source, [])
     return "at" if n in own else "before" if any(0 < x - n <= 2 for x in own) else "beyond" if own and n > max(own) else "off"
@@ -258,19 +380,20 @@ def examples(t: str, source: str | None, spikes: dict[str | None, list[int]], rn
 def train(texts: list[tuple[str, str, str | None]], spikes: dict[str | None, list[int]], counts: np.ndarray, every: bool = True, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Weights learned from intact texts (id, text, source), and how often each feature occurs; a text is seen with the counts of the other half."""
     others = [Endings(counts=counts[1 - h]) for h in (0, 1)]
-    rng, rows, y = random.Random(), [], []
+    rng, made, limit, halves, y = random.Random(), [], [], [], []
     for key, t, s in sorted(texts, key=lambda x: (x[0] or "", x[1], x[2] or "")):
         rng.seed(zlib.crc32(f"{seed}|{key}|{t}".encode("utf-8", "surrogatepass")))
-        known = others[half(t)]
+        where = half(t)
         for x, label in examples(t, s, spikes, rng, every):
-            at = place(len(x), s, spikes) if label or rng.random() < 0.97 else "at"
-            rows.append(features(x, at, known))
+            limit.append(place(len(x), s, spikes) if label or rng.random() < 0.97 else "at")
+            made.append(x)
+            halves.append(where)
             y.append(label)
-    if not rows:
+    if not made:
         return np.zeros(WIDTH), np.zeros(WIDTH, np.int64)
-    x = Rows(rows)
-    seen, w = np.bincount(x.place, minlength=WIDTH), np.zeros(WIDTH)
-    used, x.place = np.unique(x.place, return_inverse=True)
+    x = encoded(made, limit, others, halves)
+    seen, w = x.seen(WIDTH), np.zeros(WIDTH)
+    used = x.packed()
     w[used] = fit(x, np.array(y, float), len(used))  # places without a feature stay 0
     return w, seen
 
@@ -312,15 +435,13 @@ def scores(df: DataFrame, key: str, text: str, source: str, group: int = GROUP)
         known = Endings(counts=unpacked(*counts))
         w = np.zeros(WIDTH)
         w[places] = values
-        w = w.tolist()
         for b in batches:
-            out = []
-            for t, s in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if not n or t is None or not t.strip() or t.strip().lower() in GONE:
-                    out.append(0.0)
-                    continue
-                z = sum(w[p] * v for p, v in features(t, place(len(t), s, spikes), known))
-                out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+            out = np.zeros(b.num_rows)
+            texts, sources = b.column(1).to_pylist(), b.column(2).to_pylist()
+            at = [i for i, t in enumerate(texts) if n and t is not None and t.strip() and t.strip().lower() not in GONE]
+            if at:
+                x = encoded([texts[i] for i in at], [place(len(texts[i]), sources[i], spikes) for i in at], [known])
+                out[at] = 1 / (1 + np.exp(-np.clip(x.dot(w), -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.float64())], names=[key, source, "score"])
 
     kinds = dict(df.dtypes)
